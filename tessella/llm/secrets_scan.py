@@ -143,7 +143,7 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     token = lambda c: F.substr(F.col("text"), c["start"] + 1, c["end"] - c["start"])
     scored = F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(token(c)).alias("t")))
     scored = F.filter(scored, lambda c: c["t"]["encoding"].isNotNull())
-    bin_ = lambda s: F.coalesce(F.least(F.lit(MOST), F.floor(s * STEPS)), F.lit(-1)).cast("int")
+    bin_ = lambda s: F.when(s.isNull(), -1).otherwise(F.least(F.lit(MOST), F.floor(s * STEPS))).cast("int")
     scored = F.transform(scored, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(c["t"]["n"]).alias("class"), bin_(c["t"]["score"]).alias("bin")))
     found = staged(found.select("doc_id", *BASE, F.when(F.size("_c") > 0, scored).alias("_c")), "secrets")
     limits = discovery_limits(found.select(F.explode("_c").alias("c")).select("c.class", "c.bin"), rate)
