@@ -7,7 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,21 +85,32 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _live_keys(classes: DataFrame) -> DataFrame:
-    """(key, v, n) of the table keys that can have more than one member.
+    """(key, o1, o2, v, n) of the table keys that can have more than one member.
 
     A key is a pair of sub-keys, so it is shared only if both sub-keys are: classes whose sub-keys are all their own, which is most of a corpus,
-    are out before any pair is formed.
+    are out before any pair is formed. o1 and o2 are other sub-keys of the class, by which the members of a key are ordered: like texts agree on
+    them too and stand side by side.
     """
-    subs = classes.select("v", "n", F.posexplode("subs").alias("t", "s"))
+    around = F.transform("subs", lambda s, i: F.struct(i.alias("t"), s.alias("s"), F.element_at("subs", (i + 1) % (2 * SIDE) + 1).alias("o")))
+    subs = classes.select("v", "n", F.explode(around).alias("x")).select("v", "n", "x.*")
     shared = subs.groupBy("t", "s").agg(F.count("*").alias("c")).where("c > 1").select(F.col("t").alias("_t"), F.col("s").alias("_s"))
     live = subs.join(shared, (F.col("t") == F.col("_t")) & (F.col("s") == F.col("_s")), "left_semi")
     # At most 2 * SIDE sub-keys a class.
-    per = live.groupBy("v", "n").agg(F.collect_list(F.when(F.col("t") < SIDE, F.struct("t", "s"))).alias("a"), F.collect_list(F.when(F.col("t") >= SIDE, F.struct("t", "s"))).alias("b"))
-    pairs = per.where((F.size("a") > 0) & (F.size("b") > 0)).select("v", "n", F.explode("a").alias("a"), "b").select("v", "n", "a", F.explode("b").alias("b"))
-    keys = pairs.select(F.xxhash64("a.t", "a.s", "b.t", "b.s").alias("key"), "v", "n")
-    members = staged(keys, "near-keys")
-    more = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("_key"))
-    return staged(members.join(more, F.col("key") == F.col("_key"), "left_semi"), "near-live")
+    side = lambda first: F.collect_list(F.when((F.col("t") < SIDE) == F.lit(first), F.struct("t", "s", "o")))
+    per = live.groupBy("v", "n").agg(side(True).alias("a"), side(False).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+    pairs = per.select("v", "n", F.explode("a").alias("a"), "b").select("v", "n", "a", F.explode("b").alias("b"))
+    return pairs.select(F.xxhash64("a.t", "a.s", "b.t", "b.s").alias("key"), F.col("a.o").alias("o1"), F.col("b.o").alias("o2"), "v", "n")
+
+
+def _neighbours(keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: each member of a key with the one before it and with the first, if their sizes allow the similarity. At most two pairs a
+    member, however large the key's group is."""
+    w = Window.partitionBy("key").orderBy("o1", "o2", "v")
+    member = F.struct("v", "n")
+    near = keys.select("v", "n", F.array(F.lag(member).over(w), F.first(member).over(w)).alias("near"))
+    pairs = near.select("v", "n", F.explode("near").alias("m")).where("m IS NOT NULL AND m.v <> v")
+    sized = 100 * F.least(F.col("n"), F.col("m.n")) >= percent * F.greatest(F.col("n"), F.col("m.n"))
+    return pairs.where(sized).select(F.least("v", "m.v").alias("a"), F.greatest("v", "m.v").alias("b")).distinct()
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -119,6 +130,80 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long")
 
 
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(i, j) pairs that join the sets into their components: i is the first of its component, j each other one.
+
+    Two sets are linked if 100 * intersection >= ``percent`` * union. All intersections are counted by products of a 0-1 matrix of
+    the elements that two sets or more have, some columns at a time.
+    """
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], column[shared]
+    number = np.cumsum(times > 1) - 1
+    column = number[column]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = 4096
+    for low in range(0, int((times > 1).sum()), width):
+        a, b = np.searchsorted(column, (low, low + width))
+        m = np.zeros((len(sets), min(width, int((times > 1).sum()) - low)), np.float32)
+        m[owner[a:b], column[a:b] - low] = 1
+        common += m @ m.T
+    similar = 100.0 * common >= percent * (n[:, None] + n[None, :] - common.astype(np.float64))
+    out, new = [], np.ones(len(sets), bool)
+    for i in range(len(sets)):
+        if not new[i]:
+            continue
+        new[i] = False
+        front = np.array([i])
+        while len(front):
+            found = np.flatnonzero(similar[front].any(axis=0) & new)
+            new[found] = False
+            out += [(i, int(j)) for j in found]
+            front = found
+    return out
+
+
+#: What a block of a cluster holds at most, in sets and in bytes of their hashes.
+BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
+
+
+def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join the members of each cluster (v, label) into components of confirmed links.
+
+    A cluster's sets (v, set) meet in one block; a large cluster is dealt into parts by a hash, and every two parts meet in a block of their own, so a
+    block is bounded whatever the cluster's size and no two members are left uncompared. A block yields a link for each member at most.
+    """
+    rows = staged(clusters.join(sets, "v").select("label", "v", "set"), "near-members")
+    per = rows.groupBy("label").agg(F.count("*").alias("_n"), F.sum(F.octet_length("set").cast("long")).alias("_b")).where("_n > 1")
+    parts = F.greatest(F.ceil(F.col("_n") / BLOCK_SETS), F.ceil(F.col("_b") / BLOCK_BYTES)).cast("int")
+    rows = rows.join(per.select("label", parts.alias("_c")), "label")
+    rows = rows.withColumn("_p", F.pmod(F.xxhash64("v"), F.col("_c")).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    rows = rows.select("label", F.least("_p", "_q").alias("lo"), F.greatest("_p", "_q").alias("hi"), "v", "set")
+    rows = rows.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+
+        def close() -> pa.RecordBatch:
+            found = linked(sets, percent) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for label, lo, hi, v, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if (label, lo, hi) != now:
+                    yield close()
+                    now, ids, sets = (label, lo, hi), [], []
+                ids.append(v)
+                sets.append(np.frombuffer(data, np.uint64))
+        yield close()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _small(table: DataFrame, most: int = 200_000) -> bool:
     return table.limit(most + 1).count() <= most
 
@@ -140,8 +225,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("w").alias("m"))
         small = large.join(least, "u")
         small = small.where(F.col("w") > F.col("m")).select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(least.select("u", F.col("m").alias("w")))
-        edges = staged(small.where("u <> w").distinct(), "cc")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "w").cast("decimal(20,0)"))).first()
+        seen = Observation()
+        edges = staged(small.where("u <> w").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "w").cast("decimal(20,0)")).alias("h")), "cc")
+        now = (seen.get["n"], seen.get["h"])
         if now == before:
             return edges.select(F.col("u").alias("v"), F.col("w").alias("label")).unionByName(edges.select(F.col("w").alias("v"), F.col("w").alias("label"))).distinct()
         before = now
@@ -155,12 +241,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     one shingle) have 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id that links reach, kept is
     doc_id = component_id.
 
-    Equal sets are one class, found by a 128-bit hash, so copies in any number cost one row. Candidates come from tensored banding: two
-    collections of ``SIDE`` sub-keys, every pair of sub-keys a table key. Candidates whose min-hashes differ too often go, the rest is
-    confirmed on full sets of whole texts. In a first round the members of a key are held against its least and its largest member by a hash order; what that
-    links becomes components. In the second, only keys that hold more than one component are looked at, and only pairs from different components
-    with sizes that allow the similarity are formed; so no pair is lost that shares a key, and large groups of copies form no pairs. A pair at
-    the limit of 0.85 shares no key with probability ``miss_probability(0.85)``, about 1.5e-5, and less above.
+    Equal sets are one class, found by a 128-bit hash, so copies in any number cost one row. Tensored banding gives each class its table keys: two
+    collections of ``SIDE`` sub-keys, every pair of sub-keys a key. The members of a key are ordered by further min-hashes, and each is held against the
+    one before it and the first; pairs whose min-hashes agree too seldom go, and what the others join are clusters. In each cluster all full sets of whole
+    texts are compared, in bounded blocks, and only confirmed links count; so a large group of near copies forms no table of pairs. Two texts at the
+    limit of 0.85 share no key with probability ``miss_probability(0.85)``, about 1.5e-5, and less above.
 
     Null and empty texts have no shingles and link with nothing, each its own component. Rows that repeat a doc_id are one vertex if
     linked by the id, so they share a component if any links; rows with null ids get component_id null and kept true, and link nothing. Empty tables
@@ -175,30 +260,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = sets.join(named.select(F.col("v").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"])
     classes = classes.withColumn("_i", F.row_number().over(first)).where("_i = 1").select(F.col("doc_id").alias("v"), "h1", "h2", "n", "sig", "subs")
     classes = staged(classes, "near-classes")
-    keys = _live_keys(classes)
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b")))
-
-    order = F.struct(F.xxhash64("v").alias("h"), "v", "n")
-    ends = keys.groupBy(F.col("key").alias("_key")).agg(F.min("v").alias("_lo"), F.min_by("n", "v").alias("_ln"), F.max(order).alias("_hi"))
-    stars = keys.join(ends, F.col("key") == F.col("_key"))
-    lead = F.explode(F.array(F.struct(F.col("_lo").alias("v"), F.col("_ln").alias("n")), F.struct(F.col("_hi.v").alias("v"), F.col("_hi.n").alias("n"))))
-    stars = stars.select("v", "n", lead.alias("lead")).select(F.least("v", "lead.v").alias("a"), F.greatest("v", "lead.v").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
-    tried = staged(sized(stars).select("a", "b").distinct(), "near-stars")
-    fetch = _TextSource(docs, classes, k, percent)
-    links = fetch.confirm(_plausible(tried, classes, percent / 100))
-    labels = components(links)
-
-    labelled = keys.join(labels.select(F.col("v").alias("_v"), "label"), F.col("v") == F.col("_v"), "left").select("key", "v", "n", F.coalesce("label", "v").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("key").alias("_key"))
-    left = staged(labelled.join(mixed, F.col("key") == F.col("_key"), "left_semi"), "near-open")
-    a = left.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = left.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = fetch.confirm(_plausible(across, classes, percent / 100))
-    labels = components(links.unionByName(more).unionByName(_same_id(sets, named)))
+    pairs = staged(_neighbours(staged(_live_keys(classes), "near-keys"), percent), "near-pairs")
+    clusters = staged(components(_plausible(pairs, classes, percent / 100)), "near-clusters")
+    links = _confirmed(clusters, _sets_of(docs, classes, clusters, k), percent)
+    labels = components(links.unionByName(_same_id(sets, named)))
 
     classed = rows.join(named.where("copies > 1").select("h1", "h2", F.col("v").alias("_c")), ["h1", "h2"], "left")
     vertex = F.coalesce("_c", "doc_id")
@@ -214,33 +279,14 @@ def _same_id(sets: DataFrame, named: DataFrame) -> DataFrame:
     return rows.where("doc_id <> v").select(F.col("v").alias("a"), F.col("doc_id").alias("b"))
 
 
-class _TextSource:
-    """Confirms pairs of classes on the texts of the documents that name them."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> None:
-        self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        k, percent = self.k, self.percent
-        pairs = staged(pairs, "near-pairs")
-        needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-needed")
-        texts = self.docs.select("doc_id", "text").join(F.broadcast(needed) if _small(needed) else needed, "doc_id", "left_semi")
-        # Rows that repeat an id may have other texts: those with the class's own set are taken.
-        own = self.classes.select("v", "h1", "h2").join(F.broadcast(needed) if _small(needed) else needed, F.col("v") == F.col("doc_id"), "left_semi")
-        sets = _sets(texts, k).join(own, ["h1", "h2"]).where(F.col("doc_id") == F.col("v")).select("v", "set")
-        sets = staged(sets.groupBy("v").agg(F.first("set").alias("set")), "near-sets")
-        both = pairs.join(sets.select(F.col("v").alias("a"), F.col("set").alias("_sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("set").alias("_sb")), "b")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                good = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    good.append(100 * common >= percent * (len(s) + len(t) - common))
-                yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
-
-        return staged(both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long"), "near-links")
+def _sets_of(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
+    """(v, set) of the classes that stand in a cluster, made anew from one text of each; the other texts are not touched."""
+    own = staged(classes.select("v", "h1", "h2").join(clusters.select("v"), "v", "left_semi"), "near-own")
+    needed = own.select(F.col("v").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(needed) if _small(needed) else needed, "doc_id", "left_semi")
+    # Rows that repeat an id may have other texts: those with the class's own set are taken.
+    made = _sets(texts, k).join(own.withColumnRenamed("v", "_v"), ["h1", "h2"]).where(F.col("doc_id") == F.col("_v"))
+    return made.select("doc_id", "set").groupBy(F.col("doc_id").alias("v")).agg(F.first("set").alias("set"))
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
