@@ -116,9 +116,10 @@ def reward(formatted: Column, correct: Column, length: Column, free: int = 192,
 def grade(principles: Column, weights: dict[str, float], pitfalls: Column, penalties: dict[str, float], hard: Column) -> Column:
     """Struct (score, ok): the weighted mean of principles clamped to 1 to 5, less half the weights of the pitfalls that apply; ok if all
     hard rules hold and the score is 4 or more. Maps of name to value."""
-    clamp = lambda v: F.greatest(F.lit(1.0), F.least(F.lit(5.0), v.cast("double")))
+    # greatest and least pass over nulls, so a missing principle is given the lowest mark first.
+    clamp = lambda v: F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.coalesce(v.cast("double"), F.lit(1.0))))
     total = sum(weights.values())
-    score = sum((F.coalesce(clamp(principles[k]), F.lit(1.0)) * w for k, w in weights.items()), F.lit(0.0)) / total
+    score = sum((clamp(principles[k]) * w for k, w in weights.items()), F.lit(0.0)) / total
     score = score - sum((F.when(pitfalls[k].cast("boolean"), 0.5 * w).otherwise(0.0) for k, w in penalties.items()), F.lit(0.0))
     ok = F.forall(F.map_values(hard), lambda v: F.coalesce(v, F.lit(False))) & (score >= 4)
     return F.struct(F.round(score, 6).alias("score"), ok.alias("ok"))

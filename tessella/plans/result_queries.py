@@ -18,7 +18,7 @@ def answers(spark):
     return values(spark, ANSWERS)
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, false), (6, true), (7, true), (8, true), (9, false), (10, false), (11, false), (12, false), (13, false)) t(id, ok)")
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false), (6, true), (7, true), (8, true), (9, false), (10, false), (11, false), (12, false), (13, false)) t(id, ok)")
 def exact_match(spark, sf_dir):
     """Equal or contained in answer form; expected verdicts in the oracle."""
     return answers(spark).select("id", scoring.exact_match(F.col("answer"), F.col("gold")).alias("ok"))
@@ -96,7 +96,7 @@ GRADES = """SELECT * FROM (VALUES (1, map('clear', 5, 'true', 5), map('vague', f
 def grade(spark, sf_dir):
     """Judge replies: clamped weighted means less penalties."""
     g = scoring.grade(F.col("p"), {"clear": 1.0, "true": 2.0}, F.col("f"), {"vague": 1.0}, F.col("h"))
-    return values(spark, GRADES).select("id", F.when(F.col("id") == 2, g["score"]).otherwise(g["score"]).alias("score"), g["ok"].alias("ok"))
+    return values(spark, GRADES).select("id", g["score"].alias("score"), g["ok"].alias("ok"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1.0 WHEN toxic = 1 AND quality = 0 THEN NULL WHEN toxic = 1 THEN 1.0 ELSE 3.0 + quality END::DOUBLE AS score FROM labels")
