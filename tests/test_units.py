@@ -38,7 +38,8 @@ def one(spark, column, **values):
         ("word word word word | |", "symbol_ratio"),
         ("see pp. three and more of it\nplain words in a line here\nplain words in a line here\nplain words in a line here", None),
         ("see pp. three and more of it\nplain words in a line here\nplain words in a line here", "reference_list"),
-        ("one two three four five six\nshort line\nshort line", "short_lines"),
+        ("one two three four five six\nshort line\nshort line", None),
+        ("one two three four five six\nshort line here\nshort line", "short_lines"),
         ("one two three four five six\nshort line here", None),
         ("éàü éàü", None),
     ],
@@ -59,7 +60,7 @@ def test_dictionary_knows_stems_of_two_letters_and_more(spark):
 
 
 def test_running_lines_need_more_than_the_share(spark):
-    rows = [("d", p, i, t) for p in range(10) for i, t in enumerate([f"Chapter {p}" if p < 4 else f"x{p}", "body " + "abcdefghij"[p], f"foot {p}"])]
+    rows = [("d", p, i, t) for p in range(10) for i, t in enumerate([f"Chapter {p}" if p < 4 else "top " + "abcdefghij"[p], "body " + "abcdefghij"[p], f"foot {p}"])]
     got = quality.running_lines(spark.createDataFrame(rows, "doc string, page int, pos int, line string")).collect()
     assert Counter(r.line[:4] for r in got) == {"foot": 10, "Chap": 4}
     assert quality.running_lines(spark.createDataFrame([r for r in rows if r[1] < 4], "doc string, page int, pos int, line string")).count() == 0
