@@ -83,10 +83,10 @@ def strict_check(spark, sf_dir):
     return values(spark, STRICT).select("id", strict.strict_reason(F.col("answer"), F.col("gold"), F.col("kind")).alias("reason"))
 
 
-@query("SELECT doc_id, round((CASE WHEN quality = 1 THEN 0.1 ELSE 0 END) + (CASE WHEN quality = 1 AND toxic = 0 THEN 0.9 ELSE 0 END) - 0.1 * least(1.0, greatest(0.0, (doc_id % 300 - 192) / 64.0)), 6) AS reward FROM labels")
+@query("SELECT doc_id, round((CASE WHEN quality = 1 THEN 0.1 ELSE 0 END) + (CASE WHEN quality = 1 AND toxic = 0 THEN 0.9 ELSE 0 END) - 0.1 * least(1.0, greatest(0.0, (doc_id % 300 - 192) / 64.0)), 7) AS reward FROM labels")
 def reward(spark, sf_dir):
     """Rewards of format, correctness and length; labels stand for verdicts."""
-    return table(spark, sf_dir, "labels").select("doc_id", F.round(scoring.reward(F.col("quality") == 1, F.col("toxic") == 0, F.col("doc_id") % 300), 6).alias("reward"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.round(scoring.reward(F.col("quality") == 1, F.col("toxic") == 0, F.col("doc_id") % 300), 7).alias("reward"))
 
 
 GRADES = """SELECT * FROM (VALUES (1, map('clear', 5, 'true', 5), map('vague', false), map('a', true)), (2, map('clear', 9, 'true', 4), map('vague', true), map('a', true)), (3, map('clear', 5, 'true', 5), map('vague', false), map('a', false)), (4, map('clear', 0), map('vague', false), map('a', true))) AS t(id, p, f, h)"""
