@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, kdshard, mixing, neardup, quality, secrets_scan, tokens, urlfilter, warc
+from . import decontam, htmltext, kdshard, mixing, neardup, oracles, quality, secrets_scan, tokens, urlfilter, warc
 from .common import scratch
 
 
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_kd_shards": op10_kd_shards,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": oracles.OP1, "op4_url_filter": oracles.OP4, "op7_quality": oracles.OP7, "op9_near_duplicates": oracles.OP9}
