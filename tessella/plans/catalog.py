@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import dedup, pii, quality, selection
 
-from . import corpus_queries, result_queries, selection_queries, stream_queries  # noqa: F401  they register their queries
+from . import corpus_queries, question_queries, result_queries, selection_queries, stream_queries  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES, table
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

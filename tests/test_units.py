@@ -376,3 +376,9 @@ def test_flagship(spark, sf_dir):
 def test_lines_are_collapsed(spark, sf_dir):
     lines = corpus_queries.line_texts(spark, sf_dir)
     assert lines.count() == lines.select("text").distinct().count()
+
+
+def test_distractors_are_of_other_documents(spark, sf_dir):
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()}
+    rows = [(r.id, r.other) for r in catalog.QUERIES["distractor_chunks"](spark, sf_dir).collect()]
+    assert len(rows) == len(docs) and all(o is None or docs[o] != docs[i] for i, o in rows)
