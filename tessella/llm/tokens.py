@@ -46,10 +46,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The same model for strings of a space and letters, over and over, which can be cut at the spaces alone.
+        self.spaces = Tokenizer(self.tokenizer.model)
+        self.spaces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -63,7 +66,7 @@ class Encoder:
             some = words[i : i + 100_000]
             texts = ["".join([" " + w for w in some[k : k + 1000]]) for k in range(0, len(some), 1000)]
             found: list[bytes] = []
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            for e in self.spaces.encode_batch_fast(texts, add_special_tokens=False):
                 ids = np.asarray(e.ids, "<u4")
                 data, at = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
                 found += [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
@@ -98,21 +101,22 @@ class Encoder:
             self.after_space.clear()
         if len(self.alone) > CACHE // 4:
             self.alone.clear()
-        split = [t.split(" ") for t in texts]
+        split = []
         known, new = self.after_space, set()
-        for words in split:
-            new.update(words[1:])
+        for t in texts:
+            first, space, rest = t.partition(" ")
+            split.append((first, rest.split(" ") if space else []))
+            new.update(split[-1][1])
         new = {w for w in new if w not in known}
         # Beside an empty stretch, or one with white space at an end, there is other white space than one space.
         odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         self._learn(new - odd)
         out = []
-        for t, words in zip(texts, split, strict=True):
-            first = words[0]
-            if (len(words) > 1 and (not first or first[-1].isspace())) or (odd and not odd.isdisjoint(words)):
+        for t, (first, words) in zip(texts, split, strict=True):
+            if (words and (not first or first[-1].isspace())) or (odd and not odd.isdisjoint(words)):
                 out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                out.append(b"".join([*map(self._one, self.cut(first)), *map(known.__getitem__, words[1:])]))
+                out.append(b"".join([*map(self._one, self.cut(first)), *map(known.__getitem__, words)]))
         return out
 
 
