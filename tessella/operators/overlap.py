@@ -9,9 +9,14 @@ from pyspark.sql.window import Window
 from tessella.functions import text as T
 
 
+def hashed_grams(text: Column, n: int) -> Column:
+    """The n-grams of a text's words as 64-bit hashes: what is shuffled and joined is 8 bytes a gram."""
+    return F.transform(T.ngrams(T.words(text), n), lambda g: F.xxhash64(g))
+
+
 def positioned_grams(rows: DataFrame, ident: str, text: str, n: int) -> DataFrame:
-    """(id, pos, g): every n-gram of words with its place, repeats included."""
-    return rows.select(F.col(ident).alias("id"), F.posexplode(T.ngrams(T.words(F.col(text)), n)).alias("pos", "g"))
+    """(id, pos, g): every n-gram of words, hashed, with its place, repeats included."""
+    return rows.select(F.col(ident).alias("id"), F.posexplode(hashed_grams(F.col(text), n)).alias("pos", "g"))
 
 
 def gram_index(rows: DataFrame, ident: str, text: str, n: int) -> DataFrame:
@@ -45,8 +50,8 @@ def coverage_bin(share: Column) -> Column:
 
 def shared_gram_counts(queries: DataFrame, reference: DataFrame, q_id: str, r_id: str, text: str, n: int) -> DataFrame:
     """(q, r, common, nq): distinct n-grams that a query text shares with each reference text, and how many it has."""
-    q = queries.select(F.col(q_id).alias("q"), F.explode(F.array_distinct(T.ngrams(T.words(F.col(text)), n))).alias("g"))
-    r = reference.select(F.col(r_id).alias("r"), F.explode(F.array_distinct(T.ngrams(T.words(F.col(text)), n))).alias("g"))
+    q = queries.select(F.col(q_id).alias("q"), F.explode(F.array_distinct(hashed_grams(F.col(text), n))).alias("g"))
+    r = reference.select(F.col(r_id).alias("r"), F.explode(F.array_distinct(hashed_grams(F.col(text), n))).alias("g"))
     sizes = q.groupBy("q").agg(F.count("*").alias("nq"))
     return q.join(r, "g").groupBy("q", "r").agg(F.count("*").alias("common")).join(sizes, "q")
 
