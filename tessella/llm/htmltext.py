@@ -26,19 +26,22 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the value ends an open element of the key.
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in a class, id or role that name what is not the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|widget\w*|footer|header|masthead|"
-    r"cookie\w*|consent|notice\w*|alert\w*|popup|modal|newsletter|subscribe|subscription|comment\w*|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|"
-    r"pagination|pager|toolbar|search\w*|login|signup|form|hidden|skip|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?=$|[\s_-])",
-    re.I,
+#: Words in a class or id that name what is not the article. A name counts only as a whole: "cookie-notice" is made of such words alone, "has-sidebar"
+#: and "side-effects" are not, and what they name is left to the style tree.
+_WORD = (
+    r"(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side|widgets?|footer|header|masthead|"
+    r"cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|"
+    r"recommended|recommendations?|pagination|pager|toolbar|search|login|signup|form|hidden|skip|copyright|legal|disclaimer|complementary|contentinfo)"
 )
+NOISE = re.compile(rf"(?:^|\s){_WORD}(?:[_-]{_WORD})*(?=$|\s)", re.I)
+#: Roles say what an element is, as tags do.
+ROLES = set("navigation complementary contentinfo banner search menu menubar toolbar form alert alertdialog dialog".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW.split()) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 #: Branches are judged on hosts with this many different pages at least.
 LEAST_PAGES = 5
 #: Below this normalised entropy the content of a branch says the same on the pages of its host.
@@ -58,8 +61,8 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed and stray tags are taken as browsers do, as far as blocks are concerned."""
     out: list[Block] = []
     buffer: list[str] = []
-    # Each open element: (tag, path, noise, inside): inside is 2 in an article, 1 in a main part, 0 elsewhere.
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
+    # Each open element: (tag, path, noise, inside): noise is 2 by a tag or role, 1 by a name alone; inside is 2 in an article, 1 in a main part, 0 elsewhere.
+    stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]
 
     def flush() -> None:
         if buffer:
@@ -67,7 +70,7 @@ def blocks(page: str) -> list[Block]:
             buffer.clear()
             if text:
                 _, path, noise, inside = stack[-1]
-                out.append(Block(path, noise, inside, text))
+                out.append(Block(path, bool(noise), inside, text))
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -105,11 +108,18 @@ def blocks(page: str) -> list[Block]:
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
         _, path, noise, inside = stack[-1]
-        named = " ".join(a or b or c for a, b, c in ATTR.findall(attrs)) if "=" in attrs else ""
+        given = [(kind.lower(), a or b or c) for kind, a, b, c in ATTR.findall(attrs)] if "=" in attrs else []
+        named = " ".join(v for _, v in given)
         inside = 2 if tag == "article" else max(inside, 1) if tag == "main" or "main" in named.lower().split() else inside
-        noise = noise or tag in DROPPED or (tag in EDGES and not (inside == 2 and tag == "header"))
-        if named and tag not in ("html", "body", "article", "main"):
-            noise = noise or bool(NOISE.search(named))
+        if inside > stack[-1][3] and noise == 1:
+            noise = 0  # The name of a wrapper says nothing of the article in it.
+        if tag in DROPPED or (tag in EDGES and not (inside == 2 and tag == "header")):
+            noise = 2
+        if given and tag not in ("html", "body", "article", "main"):
+            if any(kind == "role" and not ROLES.isdisjoint(v.lower().split()) for kind, v in given):
+                noise = 2
+            elif inside < 2 and not noise and NOISE.search(" ".join(v for kind, v in given if kind != "role")):
+                noise = 1
         if block or noise != stack[-1][2]:
             path = f"{path}/{tag}" + (f".{named}" if named else "")
         stack.append((tag, path, noise, inside))

@@ -208,6 +208,18 @@ def test_main_text_cases():
     assert t("<div class=cookie-notice><p>We use cookies</p></div><div class=content><p>text</p></div>") == "text"
 
 
+def test_names_never_drop_the_article():
+    t = htmltext.main_text
+    for name in ("content-sidebar-wrap", "has-sidebar", "side-by-side", "sidebar"):
+        assert t(f'<div class="{name}"><article><p>x</p></article></div>') == "x"
+        assert name == "sidebar" or t(f'<div class="{name}"><p>x</p></div>') == "x"
+    for name in ("side-effects", "social-impact", "search-algorithms", "related-work", "legal-status", "search", "comments"):
+        assert t(f'<article><section id="{name}"><h2 id={name}>h</h2><p>x</p></section></article>') == "h\n\nx"
+    assert t("<main><div class=sidebar>s<article><p>x</p></article></div></main>") == "x"
+    assert t("<article><p>x</p><div role=navigation>n</div></article><div class='ad banner'>a</div>") == "x"
+    assert t('<div data-id="search"><p>x</p></div><div class="wide ad">a</div><div id=cookie_notice>c</div>') == "x"
+
+
 def test_style_tree_cuts_what_a_host_repeats(spark):
     rows = [(i, f"http://h.org/{i}", f"<div class=top><p>Same words on each page</p></div><div class=body><p>Text number {i} of its own</p></div>") for i in range(12)]
     rows += [(i, f"http://k.org/{i}", "<div class=top><p>Same</p></div><div class=body><p>Few pages</p></div>") for i in range(100, 103)]
