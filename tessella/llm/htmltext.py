@@ -46,6 +46,8 @@ ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 LEAST_PAGES = 5
 #: Below this normalised entropy the content of a branch says the same on the pages of its host.
 LEAST_IMPORTANCE = 0.3
+#: What the tree says of a branch: it hardly differs at all, differs too little, or differs so much that it is text even beside an article.
+SAME, LOW, HIGH = 0, 1, 2
 
 
 class Block:
@@ -135,7 +137,7 @@ def _h(text: str) -> int:
 
 def style_nodes(pages: DataFrame) -> DataFrame:
     """(host, page, path, content, shape) of each element path of each page: hashes of the page, of the path, of all text at the path, and
-    of how its blocks follow each other. Pages are merged by host through these."""
+    of how its blocks follow each other. Pages are merged by host through these. What a tag, role or name rules out is no branch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +145,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found: dict[str, list[str]] = {}
                 for x in blocks(page or ""):
-                    if not x.noise and not x.inside:
+                    if not x.noise:
                         found.setdefault(x.path, []).append(x.text)
                 own = _h(page or "") if found else 0
                 for path, texts in found.items():
@@ -162,46 +164,63 @@ def _entropy(nodes: DataFrame, what: str) -> DataFrame:
     return counts.groupBy("host", "path").agg(n.alias("n"), F.when(n > 1, h).otherwise(1.0).alias(what))
 
 
-def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, low): the paths of each host whose content and presentation importance are both below ``least``.
+def judged_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(host, branches): the element paths of each host's pages that the tree decides on, as (path, verdict).
 
-    Equal pages of a host count once, so that copies of an article don't make it look like a menu. All sums are by host and path and
-    combined before they move. ``low`` has a hash for each such path of the host's templates.
+    A branch's importance is the larger of its content and presentation importance: ``SAME`` below a third of ``least``, ``LOW`` below ``least``;
+    ``HIGH`` if its content importance is 1 - ``least`` or more. Equal pages of a host count once, so that copies of an article don't make it look like
+    a menu. All sums are by host and path and combined before they move. ``branches`` has a hash for each such path of the host's templates.
     """
     nodes = staged(style_nodes(pages), "style-nodes").distinct()
     content, shape = _entropy(nodes, "content"), _entropy(nodes, "shape").drop("n")
-    both = content.join(shape, ["host", "path"])
-    low = both.where((F.col("n") >= least_pages) & (F.col("content") < least) & (F.col("shape") < least))
-    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
+    both = content.join(shape, ["host", "path"]).where(F.col("n") >= least_pages)
+    most = F.greatest("content", "shape")
+    verdict = F.when(most < least / 3, SAME).when(most < least, LOW).when(F.col("content") >= 1 - least, HIGH)
+    known = both.withColumn("verdict", verdict).where("verdict IS NOT NULL")
+    return known.groupBy("host").agg(F.collect_list(F.struct("path", "verdict")).alias("branches"))
 
 
-def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of the article: blocks of articles if the page has any, else of its main part, else all; without noise and low branches."""
+def main_text(page: str, branches: dict[int, int] | None = None) -> str:
+    """The text of the article, without noise, as the verdicts of the host's style tree (``branches``: path to verdict) have it.
+
+    Articles and main parts are a prior: what lies in them stays unless its branch is the ``SAME`` everywhere; what stands beside them stays only if its branch
+    is ``HIGH``. On a page without either, all stays but ``SAME`` and ``LOW`` branches.
+    """
     found = [x for x in blocks(page) if not x.noise]
-    most = max((x.inside for x in found), default=0)
-    return "\n\n".join(x.text for x in found if x.inside == most and (most or not low or _h(x.path) not in low))
+    marked = any(x.inside for x in found)
+
+    def stays(x: Block) -> bool:
+        verdict = branches.get(_h(x.path)) if branches else None
+        if x.inside:
+            return verdict != SAME
+        return verdict == HIGH if marked else verdict not in (SAME, LOW)
+
+    return "\n\n".join(x.text for x in found if stays(x))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url, text and n_chars of every page (page_id, url, html).
 
-    Elements that say what they are (menus, forms, adverts by class and the like) are of no importance, articles and main parts are of
-    full importance; the importance of all other branches is the entropy that the style tree of their host finds (``low_branches``): a branch that says
-    the same on most pages of its host is cut. Hosts with fewer than ``least_pages`` different pages keep such branches.
+    Elements that say what they are (menus, forms, adverts by class and the like) are of no importance; the importance of all other branches, in and
+    beside articles too, is the entropy that the style tree of their host finds (``judged_branches``), and articles and main parts move the limit
+    (``main_text``): a branch that says the same on most pages of its host is cut. On hosts with fewer than ``least_pages`` different pages the prior decides:
+    articles and main parts if a page has any, else all.
 
     Null html is empty and gives an empty text; a null url counts as host "". Repeated rows are extracted each. Empty tables give no rows.
-    White space of any kind inside a block is one space. Other columns are not used. A hot host is one row of ``low_branches``; pages
+    White space of any kind inside a block is one space. Other columns are not used. A hot host is one row of ``judged_branches``; pages
     are joined to it where they lie if that table is small, and else by a join that is split where it is skewed.
     """
     spark = session_of(pages)
     small_batches(spark, 256)
-    low = staged(low_branches(pages, least_pages, least), "style-low")
+    tree = staged(judged_branches(pages, least_pages, least), "style-tree")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))
-    rows = rows.join(low.withColumnRenamed("host", "_h"), F.col("_host") == F.col("_h"), "left").select("page_id", "url", "html", "low")
+    rows = rows.join(tree.withColumnRenamed("host", "_h"), F.col("_host") == F.col("_h"), "left")
+    rows = rows.select("page_id", "url", "html", F.col("branches.path").alias("paths"), F.col("branches.verdict").alias("verdicts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(page or "", set(low or ())) for page, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            given = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+            texts = [main_text(page or "", dict(zip(paths or (), verdicts or (), strict=True))) for page, paths, verdicts in given]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -229,6 +229,14 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_decides_in_and_beside_articles(spark):
+    page = "<div class=top>Same top</div><div class=lead><p>Lead {0}</p></div><main><p>Intro {0}</p><article><p>Text {0}</p><div class=tools>Print this</div></article></main>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(12)] + [(100 + i, f"http://few.org/{i}", page.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Lead 3\n\nIntro 3\n\nText 3"
+    assert got[101] == "Intro 1\n\nText 1\n\nPrint this"  # too few pages for a tree: the marks decide
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
