@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -85,7 +86,7 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _live_keys(classes: DataFrame) -> DataFrame:
-    """(key, o1, o2, v, n) of the table keys that can have more than one member.
+    """(key, o1, o2, v, n) of the table keys that have more than one member.
 
     A key is a pair of sub-keys, so it is shared only if both sub-keys are: classes whose sub-keys are all their own, which is most of a corpus,
     are out before any pair is formed. o1 and o2 are other sub-keys of the class, by which the members of a key are ordered: like texts agree on
@@ -99,12 +100,13 @@ def _live_keys(classes: DataFrame) -> DataFrame:
     side = lambda first: F.collect_list(F.when((F.col("t") < SIDE) == F.lit(first), F.struct("t", "s", "o")))
     per = live.groupBy("v", "n").agg(side(True).alias("a"), side(False).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
     pairs = per.select("v", "n", F.explode("a").alias("a"), "b").select("v", "n", "a", F.explode("b").alias("b"))
-    return pairs.select(F.xxhash64("a.t", "a.s", "b.t", "b.s").alias("key"), F.col("a.o").alias("o1"), F.col("b.o").alias("o2"), "v", "n")
+    keys = pairs.select(F.xxhash64("a.t", "a.s", "b.t", "b.s").alias("key"), F.col("a.o").alias("o1"), F.col("b.o").alias("o2"), "v", "n")
+    return keys.withColumn("_c", F.count("*").over(Window.partitionBy("key"))).where("_c > 1").drop("_c")
 
 
 def _neighbours(keys: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: each member of a key with the one before it and with the first, if their sizes allow the similarity. At most two pairs a
-    member, however large the key's group is."""
+    member, however large the key's group is; ``_unjoined`` compares what these leave apart."""
     w = Window.partitionBy("key").orderBy("o1", "o2", "v")
     member = F.struct("v", "n")
     near = keys.select("v", "n", F.array(F.lag(member).over(w), F.first(member).over(w)).alias("near"))
@@ -113,10 +115,15 @@ def _neighbours(keys: DataFrame, percent: int) -> DataFrame:
     return pairs.where(sized).select(F.least("v", "m.v").alias("a"), F.greatest("v", "m.v").alias("b")).distinct()
 
 
+def _least_equal(similarity: float) -> int:
+    """How many one-byte min-hashes of a pair of that similarity agree at least."""
+    p = similarity + (1 - similarity) / 256
+    return int(HASHES * p - DEVIATIONS * (HASHES * p * (1 - p)) ** 0.5)
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose one-byte min-hashes agree often enough; the others are far below the similarity."""
-    p = similarity + (1 - similarity) / 256
-    least = int(HASHES * p - DEVIATIONS * (HASHES * p * (1 - p)) ** 0.5)
+    least = _least_equal(similarity)
     sig = classes.select("v", "sig")
     both = pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("_sa")), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("_sb")), "b")
 
@@ -130,6 +137,76 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long")
 
 
+#: Members of a key that meet in one block at most come from two parts of about this size.
+KEY_BLOCK = 1024
+
+
+def _unjoined(keys: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): plausible pairs among the members of a key that no cluster holds together yet, as many as join them.
+
+    With these every two members of a key whose sizes and min-hashes allow the similarity end in one cluster. Keys with the same members count
+    once, and those whose members are all of one cluster not at all. The members of a large key are dealt into overlapping bands of sizes, two of which
+    hold any pair that the sizes allow, and the members of a large band into parts, every two of which meet in a block of their own.
+    """
+    rows = keys.select("key", "v", "n").distinct().join(clusters, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    # A little wider than the ratio of sizes, so that rounding can't part two sizes by two bands.
+    width = max(math.log(100 / percent), 1e-3) * (1 + 1e-6)
+    band = F.floor(F.ln("n") / width).cast("int")
+    count = lambda by: rows.groupBy(*by).agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m")
+    large = count(["key"]).select(F.col("key").alias("_k"), (F.col("c") > KEY_BLOCK).alias("_large"))
+    rows = rows.join(large, F.col("key") == F.col("_k"))
+    rows = staged(rows.select("key", F.explode(F.when(F.col("_large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("band"), "v", "n", "label"), "near-open")
+    # The least key of each set of members, by their number and two sums of hashes.
+    sums = [F.sum(F.xxhash64(F.lit(i), "v").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+    groups = rows.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_m"), *sums).where("_l <> _m")
+    groups = groups.groupBy("c", "s1", "s2").agg(F.min(F.struct("key", "band")).alias("g")).select("g.*", F.ceil(F.col("c") / KEY_BLOCK).cast("int").alias("_c"))
+    rows = rows.join(groups, ["key", "band"]).join(classes.select("v", "sig"), "v")
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("v"), F.col("_c")).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    rows = rows.select("key", "band", F.least("p", "_q").alias("lo"), F.greatest("p", "_q").alias("hi"), "p", "v", "n", "label", "sig")
+    rows = rows.repartition("key", "band", "lo", "hi").sortWithinPartitions("key", "band", "lo", "hi", "v")
+    least = _least_equal(percent / 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+
+        def close() -> pa.RecordBatch:
+            found = joins(members, percent, least) if len(members) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([c[i] for c in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for key, band, lo, hi, *member in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                if (key, band, lo, hi) != now:
+                    yield close()
+                    now, members = (key, band, lo, hi), []
+                members.append(member)
+        yield close()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def joins(members: list[list], percent: int, least: int) -> list[tuple[int, int]]:
+    """(a, b), a < b: pairs that join the labels of the members (part, v, n, label, sig) whose sizes and min-hashes allow the similarity.
+
+    Of members of two parts only pairs across are compared: the others meet where each part meets itself.
+    """
+    members = sorted(members, key=lambda m: m[2])
+    part, n, label = (np.array([m[i] for m in members], np.int64) for i in (0, 2, 3))
+    sig = np.frombuffer(b"".join([m[4] for m in members]), np.uint8).reshape(-1, HASHES)
+    stop = np.searchsorted(percent * n, 100 * n, "right")
+    across = bool((part != part[0]).any())
+    out = []
+    for i in range(len(members)):
+        j = np.arange(i + 1, stop[i])
+        j = j[(label[j] != label[i]) & (part[j] != part[i])] if across else j[label[j] != label[i]]
+        if not len(j):
+            continue
+        for x in j[np.count_nonzero(sig[j] == sig[i], axis=1) >= least]:
+            if label[x] != label[i]:
+                out.append((min(members[i][1], members[x][1]), max(members[i][1], members[x][1])))
+                label[label == label[x]] = label[i]
+    return out
+
+
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """(i, j) pairs that join the sets into their components: i is the first of its component, j each other one.
 
@@ -243,7 +320,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Equal sets are one class, found by a 128-bit hash, so copies in any number cost one row. Tensored banding gives each class its table keys: two
     collections of ``SIDE`` sub-keys, every pair of sub-keys a key. The members of a key are ordered by further min-hashes, and each is held against the
-    one before it and the first; pairs whose min-hashes agree too seldom go, and what the others join are clusters. In each cluster all full sets of whole
+    one before it and the first; pairs whose min-hashes agree too seldom go, and what the others join are clusters. Members of a key in different clusters are then
+    compared by their min-hashes, all with all in bounded blocks (``_unjoined``), and plausible pairs join their clusters. In each cluster all full sets of whole
     texts are compared, in bounded blocks, and only confirmed links count; so a large group of near copies forms no table of pairs. Two texts at the
     limit of 0.85 share no key with probability ``miss_probability(0.85)``, about 1.5e-5, and less above.
 
@@ -260,8 +338,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = sets.join(named.select(F.col("v").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"])
     classes = classes.withColumn("_i", F.row_number().over(first)).where("_i = 1").select(F.col("doc_id").alias("v"), "h1", "h2", "n", "sig", "subs")
     classes = staged(classes, "near-classes")
-    pairs = staged(_neighbours(staged(_live_keys(classes), "near-keys"), percent), "near-pairs")
-    clusters = staged(components(_plausible(pairs, classes, percent / 100)), "near-clusters")
+    keys = staged(_live_keys(classes), "near-keys")
+    pairs = staged(_plausible(staged(_neighbours(keys, percent), "near-pairs"), classes, percent / 100), "near-plausible")
+    clusters = staged(components(pairs), "near-clusters")
+    more = staged(_unjoined(keys, clusters, classes, percent), "near-more")
+    if not more.isEmpty():
+        both = clusters.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more)
+        clusters = staged(components(both), "near-clusters")
     links = _confirmed(clusters, _sets_of(docs, classes, clusters, k), percent)
     labels = components(links.unionByName(_same_id(sets, named)))
 

@@ -490,6 +490,42 @@ def test_chains_of_near_copies(spark):
     assert kept == {i for i, _, _, own in brute_components(rows, 3, 85) if own}
 
 
+def test_near_copies_among_texts_of_one_passage(spark, monkeypatch):
+    passage = " ".join(f"p0x{i}" for i in range(400))
+    rows = [(i, passage + " " + " ".join(f"f{i}x{j}" for j in range(78))) for i in range(400) if i not in (100, 300)]
+    rows += [(i, passage + " " + " ".join(f"c{i}x{j}" for j in range(4))) for i in (100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (None, 8):  # the second deals bands and parts
+        if block:
+            monkeypatch.setattr(neardup, "KEY_BLOCK", block)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 3, 85).collect()}
+        assert got == {**{i: i for i in range(400)}, 300: 100}
+
+
+def test_joins_are_those_of_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, neardup.HASHES), np.uint8)
+    members = []
+    for v in range(80):
+        sig = base[v % 6].copy()
+        sig[rng.random(neardup.HASHES) < 0.15] = 0
+        members.append([v // 6 % 2, v, int(rng.integers(80, 120)), v, sig.tobytes()])
+    for ms in (members, [m for m in members if not m[0]]):
+        want = {v: v for _, v, *_ in ms}
+        for p, a, n, _, x in ms:
+            for q, b, m, _, y in ms:
+                same = int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum())
+                if a < b and (p != q or len(ms) < 80) and 100 * min(n, m) >= 85 * max(n, m) and same >= 80:
+                    want = {k: want[a] if t == want[b] else t for k, t in want.items()}
+        got = {v: v for _, v, *_ in ms}
+        for a, b in neardup.joins(ms, 85, 80):
+            got = {k: got[a] if t == got[b] else t for k, t in got.items()}
+        groups = lambda d: {frozenset(k for k in d if d[k] == t) for t in d.values()}
+        assert groups(got) == groups(want) and len(groups(got)) < len(ms)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.v: r.label for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
