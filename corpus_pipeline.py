@@ -33,7 +33,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID output: the mix as wavelet-matrix shards, and from these doc_id, start, n_tokens and ids_crc32 of each row."""
     out = scratch(spark, "pipeline-tokens")
-    tokens.write_tokens(docs, out, tokens.vocabulary_path())
+    tokens.write_tokens(docs, out, tokens.vocabulary_path(), added_tokens=True)
     return tokens.read_documents(spark, out)
 
 

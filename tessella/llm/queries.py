@@ -50,7 +50,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
-    tokens.write_tokens(_read(spark, sf_dir, "documents"), out, tokens.vocabulary_path())
+    tokens.write_tokens(_read(spark, sf_dir, "documents"), out, tokens.vocabulary_path(), added_tokens=True)
     return tokens.read_documents(spark, out)
 
 

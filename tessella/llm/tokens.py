@@ -22,14 +22,15 @@ CHUNK = 1 << 19
 #: Stretches of text that a Python worker keeps with their ids; beyond that it begins anew, so its memory is bounded.
 CACHE = 1_200_000
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, added_tokens: bool = False) -> Encoder:
     """The encoder of a Python worker: workers serve many tasks, and what one has seen helps the next."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, added_tokens)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, added_tokens)
+    return _encoders[key]
 
 
 class Encoder:
@@ -39,17 +40,19 @@ class Encoder:
     two characters that are no white space, it cuts before the space; so a text falls into stretches of a space and what follows, and the ids
     of a stretch never depend on the others. Stretches seen before come from a cache. New ones are encoded together: a pre-token that
     begins with a space has its only space in its first token, so the ids of many can be told apart again. Texts in which a space has
-    white space beside it are encoded as a whole.
+    white space beside it are encoded as a whole. With ``added_tokens``, the library's default, the literal of an added token (such as <|endoftext|>) gets
+    that token's id, and texts that hold one are encoded as a whole too; else it is text like any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         # The same model for strings of a space and letters, over and over, which can be cut at the spaces alone.
         self.spaces = Tokenizer(self.tokenizer.model)
         self.spaces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -113,7 +116,7 @@ class Encoder:
         self._learn(new - odd)
         out = []
         for t, (first, words) in zip(texts, split, strict=True):
-            if (words and (not first or first[-1].isspace())) or (odd and not odd.isdisjoint(words)):
+            if (words and (not first or first[-1].isspace())) or (odd and not odd.isdisjoint(words)) or any(x in t for x in self.literals):
                 out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 out.append(b"".join([*map(self._one, self.cut(first)), *map(known.__getitem__, words)]))
@@ -277,12 +280,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bits: int = 16, shard_bytes: int = 12 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bits: int = 16, shard_bytes: int = 12 << 20, added_tokens: bool = False) -> DataFrame:
     """Encode every whole text, append the id ``end``, and write shard files in ascending doc_id order; return the manifest.
 
     Documents are ranged by doc_id into shards of about ``shard_bytes`` of text, by exact sums, and sorted in each; the texts are shuffled once and
     encoded in the task that writes them. A task holds the tokens of one shard. ``tokenizer`` is the path of a tokenizers file, there on
-    every executor; its ids must have ``bits`` bits at most. Null texts are empty: one id, the end. Null ids come first; of equal ids
+    every executor; its ids must have ``bits`` bits at most. ``added_tokens``: whether literals of added tokens get their ids (see ``Encoder``). Null texts are empty: one id, the end. Null ids come first; of equal ids
     the texts decide. A document longer than a shard makes a longer shard. No rows: a manifest without files. Other columns are not stored.
     """
     spark = session_of(docs)
@@ -293,7 +296,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bi
     stop = np.asarray([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = encoder_of(tokenizer), []
+        encoder, done = encoder_of(tokenizer, added_tokens), []
         now, ids, sizes, parts = None, [], [], []
 
         def close() -> None:

@@ -422,6 +422,16 @@ def test_tokens_round_trip(spark, table):
     assert Counter(map(tuple, got)) == want
 
 
+def test_added_tokens_as_the_library_has_them():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = ["end <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b c, d", "plain words here", "<|endoftext| > a", "", "end <|endoftext|> \n x"]
+    got = tokens.encoder_of(tokens.vocabulary_path(), added_tokens=True).batch(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_wavelet_matrix_answers(tmp_path):
     import numpy as np
 
