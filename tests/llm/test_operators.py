@@ -237,6 +237,67 @@ def test_style_tree_decides_in_and_beside_articles(spark):
     assert got[101] == "Intro 1\n\nText 1\n\nPrint this"  # too few pages for a tree: the marks decide
 
 
+def test_the_tree_finds_articles_without_their_tag(spark, pages):
+    """With the article element renamed, hosts that have a tree keep the same text."""
+    renamed = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article", "<div"), "</article>", "</div>"))
+    want = {r.page_id: r for r in htmltext.extract(pages).collect()}
+    hosts = pages.select("page_id", urlfilter.host_of(F.col("url")).alias("host")).collect()
+    n = Counter(r.host for r in hosts)
+    big = {r.page_id for r in hosts if n[r.host] >= htmltext.LEAST_PAGES}
+    got = {r.page_id: r.text for r in htmltext.extract(renamed).collect()}
+    assert big and all(got[i] == want[i].text for i in big)
+
+
+def test_site_tree_of_a_host(spark):
+    page = "<div class=top>Menu of all. Print it.</div><div class=c{1}><p>Text {0} is own.</p></div>"
+    rows = [(i, f"http://h.org/{i}", page.format(i, i % 2 * 7)) for i in range(8)] + [(9, "http://h.org/1", page.format(1, 7))]
+    tree = htmltext.site_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = {len(r.path) // 4: [x for x in tree if len(x.path) == len(r.path)] for r in tree}
+    assert [(r.m, r.styles, r.layout, r.content) for r in by[0]] == [(8, 1, 0.0, None)]  # "c7" and "c0" are one label: one layout
+    assert sorted((r.m, r.content) for r in by[1] if r.content is not None) == [(8, 0.0)]
+    assert [(r.m, r.content) for r in by[2]] == [(8, 1.0)]
+    branches = {r.host: htmltext.tree_of(bytes(r.branches)) for r in htmltext.judged_branches(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert list(branches) == ["h.org"] and sorted(round(own, 2) for own, _ in branches["h.org"].values()) == [0.0, 0.36, 0.81, 0.9]
+
+
+def test_importance_is_combined_upwards():
+    rows = [(b"", 10, 0.0, 1, None), (b"aaaa", 10, 0.2, 2, None), (b"aaaabbbb", 10, 0.0, 1, 0.0), (b"aaaacccc", 5, 0.0, 1, 1.0), (b"dddd", 10, 0.0, 1, None)]
+    got = {p: (own, best) for p, own, best in htmltext.composite(iter(rows))}
+    assert got[b"aaaabbbb"] == (0.0, 0.0) and got[b"aaaacccc"] == (0.9, 1.0) and got[b"aaaa"][1] is None
+    assert got[b"aaaa"][0] == pytest.approx(0.19 * 0.2 + 0.81 * 0.9 / 3)
+    assert got[b"dddd"][0] == pytest.approx(0.9)  # branches too rare to be judged count as different
+    assert got[b""][0] == pytest.approx(0.9 * (got[b"aaaa"][0] + got[b"dddd"][0]) / 2)
+
+
+def test_an_element_few_pages_have_is_judged_by_the_one_around_it(spark):
+    rows = [(i, f"http://h.org/{i}", f"<div class=box>Same<div class={'abcdefgh'[i]}>Same too</div></div><p>own text {i}</p>") for i in range(8)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "Same too\n\nown text 2"  # its box has another layout on each page
+
+
+@pytest.mark.parametrize("piece", ['<p title="', "<div>", "<li>", "</x>", "<b><p>", "<script ", "<!-", "<a b='>", "<", "<div></p>"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 5
+
+
+def test_pages_as_browsers_read_them():
+    t = htmltext.main_text
+    assert t("<p>&am<b>p;</b> c</p>") == "&amp; c"
+    assert t("<p>Hello <button>Click</button> world</p>") == "Hello world"
+    assert t("<p>2 < 3 and 4 > 1</p>") == "2 < 3 and 4 > 1"
+    assert t('<p title="x>y</p><p>z</p>') == "y\n\nz"
+    assert t("<p>a</p><div hidden>h</div><div style='display: none'>h</div><div aria-hidden=true>h</div>") == "a"
+    assert t("<div class='site has-sidebar'><p>x</p></div><div class='comment-list'>c</div><div class='site-footer'>f</div>") == "x"
+    assert t("<article><p class='legal-analysis'>x</p><p data-id='comment-3'>y</p><div class='ad'>z</div></article>") == "x\n\ny"
+    long = " ".join(["long"] * 60)
+    assert t(f"<article><p>{long}</p></article><article><h2>teaser</h2></article>") == long
+    assert t("<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul><p>text</p>") == "text"
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
