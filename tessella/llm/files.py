@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import open_fs, put_atomic, remove, session_of
+from .common import exists, open_fs, put_atomic, remove, session_of
 
 MANIFEST = "shard int, seq int, name string, tmp string, bytes long, sha256 string, records long, units long, first_id long, last_id long"
 
@@ -44,15 +44,48 @@ class TempFile:
         return {"shard": self.shard, "seq": self.seq, "name": self.name, "tmp": self.tmp, "bytes": self.bytes, "sha256": self.digest.hexdigest()} | more
 
 
+class Checked:
+    """Reads a file from its start to its end; on leaving, its length and digest must be those of the manifest."""
+
+    def __init__(self, file, row: dict) -> None:
+        import hashlib
+
+        self.file, self.row, self.bytes, self.digest = file, row, 0, hashlib.sha256()
+
+    def read(self, size: int = -1) -> bytes:
+        data = self.file.read(None if size is None or size < 0 else size)
+        self.bytes += len(data)
+        self.digest.update(data)
+        return data
+
+    def __enter__(self) -> Checked:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None and (self.bytes, self.digest.hexdigest()) != (self.row["bytes"], self.row["sha256"]):
+            raise ValueError(f"{self.row['name']} is not the file of the manifest")
+
+
 def commit(rows: DataFrame, out_dir: str) -> DataFrame:
     """Give the files that ``rows`` (the tasks' output) names their final names, and write the manifest.
 
     ``rows`` is first written by Spark's own committer, which takes one attempt of each task; files of lost or repeated attempts are in no row
     and go with the temporary folder. The renames run on the executors and may be repeated. The manifest is written last: a reader that
-    finds it finds every file. Returns the manifest.
+    finds it finds every file. A run into a folder that has a manifest, or the remains of a run that died, takes its place; where only
+    the renames were left, ``resume`` ends that run instead. Returns the manifest.
     """
     spark = session_of(rows)
-    rows.write.parquet(f"{out_dir}/_attempts")
+    remove(spark, f"{out_dir}/manifest")
+    rows.write.mode("overwrite").parquet(f"{out_dir}/_attempts")
+    return resume(spark, out_dir)
+
+
+def resume(spark: SparkSession, out_dir: str) -> DataFrame:
+    """End a commit whose driver died after all tasks had written: renames that are left, the manifest, the temporary files."""
+    if exists(spark, f"{out_dir}/manifest/_SUCCESS"):
+        return manifest(spark, out_dir)
+    if not exists(spark, f"{out_dir}/_attempts/_SUCCESS"):
+        raise FileNotFoundError(f"{out_dir} holds no finished attempts; run the writer again")
     taken = spark.read.schema(MANIFEST).parquet(f"{out_dir}/_attempts")
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,17 +95,19 @@ def commit(rows: DataFrame, out_dir: str) -> DataFrame:
                 put_atomic(fs, tmp, f"{base}/{name}")
             yield b
 
-    taken.mapInArrow(rename, MANIFEST).drop("tmp").write.parquet(f"{out_dir}/manifest")
+    taken.mapInArrow(rename, MANIFEST).drop("tmp").write.mode("overwrite").parquet(f"{out_dir}/manifest")
     remove(spark, f"{out_dir}/_tmp")
     remove(spark, f"{out_dir}/_attempts")
     return manifest(spark, out_dir)
 
 
 def manifest(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The committed files in order, with ``before``: the units in all files before each. One row a file."""
-    rows = spark.read.schema(MANIFEST).parquet(f"{out_dir}/manifest").drop("tmp")
-    earlier = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum("units").over(earlier), F.lit(0)))
+    """The committed files in order, with ``before``: the units in all files before each. One row a file; sums go by lots of 1,024 shards."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{out_dir}/manifest").drop("tmp").withColumn("_lot", F.floor(F.col("shard") / 1024))
+    earlier = lambda w: F.coalesce(F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lots = rows.groupBy("_lot").agg(F.sum("units").alias("units")).select("_lot", earlier(Window.orderBy("_lot")).alias("_before"))
+    within = earlier(Window.partitionBy("_lot").orderBy("shard", "seq"))
+    return rows.withColumn("before", within).join(lots, "_lot").withColumn("before", F.col("before") + F.col("_before")).drop("_lot", "_before")
 
 
 def per_file(files: DataFrame, run, schema: str) -> DataFrame:

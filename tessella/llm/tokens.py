@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_fs, range_shards, session_of, small_batches
-from .files import MANIFEST, TempFile, commit, manifest, manifest_batch, per_file, to_json
+from .common import in_range_shards, open_fs, session_of, small_batches
+from .files import MANIFEST, Checked, TempFile, commit, manifest, manifest_batch, per_file, to_json
 
 MAGIC = b"TWM1"
 #: Bits of a bit-plane that are compressed together; ranks are sampled at their starts.
@@ -22,41 +24,63 @@ CHUNK = 1 << 19
 #: Stretches of text that a Python worker keeps with their ids; beyond that it begins anew, so its memory is bounded.
 CACHE = 1_200_000
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+#: A shard's file is closed, and the next of the shard begun, once it has so many tokens: a task's memory is bounded whatever its rows.
+MOST_TOKENS = 1 << 24
 
+_encoders: dict[str, Encoder] = {}
 
-def encoder_of(path: str, added_tokens: bool = False) -> Encoder:
+
+def encoder_of(path: str) -> Encoder:
     """The encoder of a Python worker: workers serve many tasks, and what one has seen helps the next."""
-    key = (path, added_tokens)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, added_tokens)
-    return _encoders[key]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _settled() -> str:
+    """A character class of what every Unicode table since 3.2 takes for the same: letters, numbers, marks and signs of the first plane, blanks
+    and line ends. Others may be letters to one library and unassigned to another."""
+    import unicodedata
+
+    old = unicodedata.ucd_3_2_0.category
+    out, start = [], None
+    for i in range(0x10000 + 1):
+        c = chr(i)
+        kind, was = unicodedata.category(c), old(c)
+        good = i < 0x10000 and (c in "\t\n\x0b\x0c\r" or (kind[0] == was[0] and kind not in ("Cc", "Cf", "Cn", "Co", "Cs")))
+        if good and start is None:
+            start = i
+        elif not good and start is not None:
+            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return "".join(out)
 
 
 class Encoder:
-    """Text to token ids (little-endian 32-bit bytes) by the tokenizers library, with add_special_tokens=False.
+    """Text to token ids (little-endian 32-bit bytes): those of the tokenizers library with add_special_tokens=False, and nothing else.
 
     A byte-level tokenizer cuts a text into pre-tokens before it merges anything, and merges within each by itself. Where one space stands between
     two characters that are no white space, it cuts before the space; so a text falls into stretches of a space and what follows, and the ids
     of a stretch never depend on the others. Stretches seen before come from a cache. New ones are encoded together: a pre-token that
-    begins with a space has its only space in its first token, so the ids of many can be told apart again. Texts in which a space has
-    white space beside it are encoded as a whole. With ``added_tokens``, the library's default, the literal of an added token (such as <|endoftext|>) gets
-    that token's id, and texts that hold one are encoded as a whole too; else it is text like any other.
+    begins with a space has its only space in its first token, so the ids of many can be told apart again. The library itself encodes as a whole
+    each text in which a space has white space beside it, that holds the literal of an added token (such as <|endoftext|>), or a character that
+    not all Unicode tables class alike (``_settled``).
     """
 
-    def __init__(self, path: str, added_tokens: bool = False) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added_tokens
-        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The same model for strings of a space and letters, over and over, which can be cut at the spaces alone.
         self.spaces = Tokenizer(self.tokenizer.model)
-        self.spaces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        split = pre_tokenizers.Split(" ", "merged_with_next")
+        self.spaces.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.unsure = re.compile(f"[^{_settled()}]").search
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -112,11 +136,12 @@ class Encoder:
             new.update(split[-1][1])
         new = {w for w in new if w not in known}
         # Beside an empty stretch, or one with white space at an end, there is other white space than one space.
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or self.unsure(w)}
         self._learn(new - odd)
         out = []
         for t, (first, words) in zip(texts, split, strict=True):
-            if (words and (not first or first[-1].isspace())) or (odd and not odd.isdisjoint(words)) or any(x in t for x in self.literals):
+            whole = (words and (not first or first[-1].isspace())) or self.unsure(first) or (odd and not odd.isdisjoint(words))
+            if whole or any(x in t for x in self.literals):
                 out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 out.append(b"".join([*map(self._one, self.cut(first)), *map(known.__getitem__, words)]))
@@ -280,48 +305,53 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bits: int = 16, shard_bytes: int = 12 << 20, added_tokens: bool = False) -> DataFrame:
+def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bits: int = 16, shard_bytes: int = 12 << 20) -> DataFrame:
     """Encode every whole text, append the id ``end``, and write shard files in ascending doc_id order; return the manifest.
 
-    Documents are ranged by doc_id into shards of about ``shard_bytes`` of text, by exact sums, and sorted in each; the texts are shuffled once and
-    encoded in the task that writes them. A task holds the tokens of one shard. ``tokenizer`` is the path of a tokenizers file, there on
-    every executor; its ids must have ``bits`` bits at most. ``added_tokens``: whether literals of added tokens get their ids (see ``Encoder``). Null texts are empty: one id, the end. Null ids come first; of equal ids
-    the texts decide. A document longer than a shard makes a longer shard. No rows: a manifest without files. Other columns are not stored.
+    Documents are ranged by doc_id, and of one doc_id by a hash of the text, into shards of about ``shard_bytes`` of text, by exact sums, and
+    sorted in each; the texts are shuffled once and encoded in the task that writes them. A task holds the tokens of one file: a shard with more than
+    ``MOST_TOKENS`` has several. ``tokenizer`` is the path of a tokenizers file, there on every executor; its ids must have ``bits`` bits at
+    most. Literals of added tokens get the ids that the library gives them (see ``Encoder``). Null texts are empty: one id, the end. Null ids come first; of
+    equal ids the hashes decide. A document longer than a shard makes a longer shard. No rows: a manifest without files. Other columns are not stored.
     """
     spark = session_of(docs)
     small_batches(spark)
-    narrow = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes"))
-    shard, n = range_shards(narrow, "doc_id", F.col("_bytes") + 16, shard_bytes)
-    rows = docs.select("doc_id", "text").withColumn("_shard", shard).repartitionById(n, F.col("_shard")).sortWithinPartitions("_shard", "doc_id", "text")
-    stop = np.asarray([end], "<u4").tobytes()
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("key"), tie.alias("tie"), size.alias("weight"))
+    rows = in_range_shards(docs.select("doc_id", "text", tie.alias("_tie")), narrow, "doc_id", "_tie", shard_bytes, "_tie", "text")
+    rows = rows.select("doc_id", "text", "_shard")
+    stop, kind = np.asarray([end], "<u4").tobytes(), np.uint16 if bits <= 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = encoder_of(tokenizer, added_tokens), []
-        now, ids, sizes, parts = None, [], [], []
+        encoder, done = encoder_of(tokenizer), []
+        now, seq, held, ids, sizes, parts = None, 0, 0, [], [], []
 
         def close() -> None:
-            if now is None:
+            nonlocal seq, held, ids, sizes, parts
+            if not ids:
                 return
-            file = TempFile(out_dir, now, 0, ".twm")
-            tokens = np.concatenate(parts)
-            if len(tokens) and int(tokens.max()) >> bits:
-                raise ValueError(f"an id needs more than {bits} bits")
-            for data in build(tokens, list(zip(ids, sizes, strict=True)), bits):
+            file = TempFile(out_dir, now, seq, ".twm")
+            for data in build(np.concatenate(parts), list(zip(ids, sizes, strict=True)), bits):
                 file.write(data)
-            done.append(file.row(records=len(ids), units=len(tokens), first_id=ids[0], last_id=ids[-1]))
+            done.append(file.row(records=len(ids), units=held, first_id=ids[0], last_id=ids[-1]))
+            seq, held, ids, sizes, parts = seq + 1, 0, [], [], []
 
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc_id, data, shard_id in zip(b.column(0).to_pylist(), encoder.batch(texts), b.column(2).to_pylist(), strict=True):
                 if shard_id != now:
                     close()
-                    now, ids, sizes, parts = shard_id, [], [], []
-                tokens = np.frombuffer(data + stop, "<u4").astype(np.uint16 if bits <= 16 else np.uint32)
-                if bits <= 16 and len(data) and int(np.frombuffer(data, "<u4").max()) >> 16:
+                    now, seq = shard_id, 0
+                tokens = np.frombuffer(data + stop, "<u4")
+                if int(tokens.max()) >> bits:
                     raise ValueError(f"an id needs more than {bits} bits")
                 ids.append(doc_id)
                 sizes.append(len(tokens))
-                parts.append(tokens)
+                parts.append(tokens.astype(kind))
+                held += len(tokens)
+                if held >= MOST_TOKENS:
+                    close()
         close()
         yield manifest_batch(done)
 
@@ -331,14 +361,16 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bi
 def read_documents(spark: SparkSession, out_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the committed files, a shard at a time.
 
-    start: the ids of all documents before it; ids_crc32: of its ids as little-endian unsigned 32-bit integers.
+    start: the ids of all documents before it; ids_crc32: of its ids as little-endian unsigned 32-bit integers. A file whose length or digest is not
+    that of the manifest is an error.
     """
 
     def run(row: dict) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(out_dir)
-        with fs.open_input_file(f"{base}/{row['name']}") as f:
-            shard = Shard(f, row["bytes"])
-            tokens, docs = shard.tokens(), shard.docs()
+        with fs.open_input_stream(f"{base}/{row['name']}", compression=None) as f, Checked(f, row) as whole:
+            data = whole.read()
+        shard = Shard(io.BytesIO(data), len(data))
+        tokens, docs = shard.tokens(), shard.docs()
         at, out = 0, []
         for doc_id, n in docs:
             out.append((doc_id, row["before"] + at, n, zlib.crc32(tokens[at : at + n].astype("<u4").tobytes())))

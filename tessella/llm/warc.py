@@ -10,11 +10,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_fs, range_shards, session_of, small_batches, staged
-from .files import MANIFEST, TempFile, commit, manifest, manifest_batch, per_file
+from .common import in_range_shards, open_fs, session_of, small_batches, staged
+from .files import MANIFEST, Checked, TempFile, commit, manifest, manifest_batch, per_file
 
 #: Payloads below this many bytes are always stored; a revisit record would save nothing.
 LEAST_REVISIT = 100
@@ -61,20 +61,26 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return record(headers, http if revisit else http + payload)
 
 
+def _tie() -> Column:
+    """Orders rows of one page_id. Equal payloads agree on it, so all of a page that is one record's copies lies in one shard."""
+    return F.xxhash64(F.coalesce("html", F.lit("")))
+
+
 def _first_copies(pages: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(page_id and bytes of every row, page_id and digest and first of rows whose payload stands on an earlier page)."""
+    """(page_id, digest, bytes and tie of every row; page_id, tie, digest and first of rows whose payload stands on an earlier page)."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    narrow = staged(pages.select("page_id", F.sha2(payload, 256).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes")), "warc-digests")
+    narrow = pages.select("page_id", F.sha2(payload, 256).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes"), _tie().alias("_tie"))
+    narrow = staged(narrow, "warc-digests")
     large = narrow.where(F.col("_bytes") >= least)
     first = large.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where((F.col("_n") > 1) & F.col("_first").isNotNull())
-    marks = large.select("page_id", "_digest").join(first.select("_digest", "_first"), "_digest")
+    marks = large.select("page_id", "_tie", "_digest").join(first.select("_digest", "_first"), "_digest")
     return narrow, marks
 
 
 def write_warc(pages: DataFrame, out_dir: str, shard_bytes: int = 32 << 20, roll_bytes: int = 64 << 20, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Write a record for every row (page_id, url, html) below ``out_dir`` and return the manifest.
 
-    Rows are ranged by page_id into shards of about ``shard_bytes`` of payload, by exact sums, and sorted in each; a shard's file is closed and
+    Rows are ranged by page_id, and of one page_id by a hash of the payload, into shards of about ``shard_bytes`` of payload, by exact sums, and sorted in each; a shard's file is closed and
     the next begun once it has ``roll_bytes`` compressed. Of rows with equal payloads of at least ``least_revisit`` bytes, that with
     the smallest page_id is a response, the others are revisits of it. Headers, digests and ids depend on the rows alone, so
     the same rows give the same files, byte for byte.
@@ -85,14 +91,14 @@ def write_warc(pages: DataFrame, out_dir: str, shard_bytes: int = 32 << 20, roll
     rows the first is the response. No rows: a manifest without files. Further columns are not stored.
     """
     spark = session_of(pages)
-    small_batches(spark, 256)
+    small_batches(spark)
     narrow, marks = _first_copies(pages, least_revisit)
-    shard, n = range_shards(narrow.select("page_id", "_bytes"), "page_id", F.col("_bytes") + 600, shard_bytes)
+    weights = narrow.select(F.col("page_id").cast("long").alias("key"), F.col("_tie").alias("tie"), (F.col("_bytes") + 600).alias("weight"))
     none = F.lit(None)
-    rows = pages.select("page_id", F.lit(1).alias("_kind"), "url", "html", none.cast("string").alias("_digest"), none.cast("long").alias("_first"))
-    marks = marks.select("page_id", F.lit(0).alias("_kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "_digest", F.col("_first").cast("long"))
-    rows = rows.unionByName(marks).withColumn("_shard", shard)
-    rows = rows.repartitionById(n, F.col("_shard")).sortWithinPartitions("_shard", "page_id", "_kind", "_digest", "url", "html")
+    rows = pages.select("page_id", F.lit(1).alias("_kind"), "url", "html", _tie().alias("_tie"), none.cast("string").alias("_digest"), none.cast("long").alias("_first"))
+    marks = marks.select("page_id", F.lit(0).alias("_kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "_tie", "_digest", F.col("_first").cast("long"))
+    rows = in_range_shards(rows.unionByName(marks), weights, "page_id", "_tie", shard_bytes, "_tie", "_kind", "_digest", "url", "html")
+    rows = rows.select("page_id", "_kind", "url", "html", "_digest", "_first", "_tie", "_shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[dict] = []
@@ -106,12 +112,12 @@ def write_warc(pages: DataFrame, out_dir: str, shard_bytes: int = 32 << 20, roll
 
         shard_now, seq, page, known, seen = None, 0, object(), {}, {}
         for b in batches:
-            for page_id, kind, url, html, digest, first, shard_id in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for page_id, kind, url, html, digest, first, tie, shard_id in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                 if shard_id != shard_now:
                     close()
                     shard_now, seq = shard_id, 0
-                if page_id != page:
-                    page, known, seen = page_id, {}, {}
+                if (page_id, tie) != page:
+                    page, known, seen = (page_id, tie), {}, {}
                 if kind == 0:
                     known[digest] = first
                     continue
@@ -173,7 +179,7 @@ def read_warc(spark: SparkSession, out_dir: str, payloads: bool = True) -> DataF
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 6 + payloads]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(kinds)])
 
-        with fs.open_input_stream(f"{base}/{row['name']}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as z:
+        with fs.open_input_stream(f"{base}/{row['name']}", compression=None) as file, Checked(file, row) as raw, gzip.GzipFile(fileobj=raw) as z:
             for h, block in parse(io.BufferedReader(z, 1 << 18)):
                 if h["warc-type"] == "warcinfo":
                     continue

@@ -470,16 +470,20 @@ def test_tokens_round_trip(spark, table):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     out = common.scratch(spark, "t")
     tokens.write_tokens(table, out, tokens.vocabulary_path(), shard_bytes=60_000)
     got = tokens.read_documents(spark, out).collect()
     rows = sorted(((r.doc_id, r.text or "") for r in table.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    want, start = Counter(), 0
+    # Rows of one doc_id stand in the order of their hashes, which is that of the file.
+    place = {(r.doc_id, r.n_tokens, r.ids_crc32): r.start for r in got}
+    want, start, lots = Counter(), 0, []
     for i, text in rows:
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
-        want[(i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))] += 1
-        start += len(ids)
+        lots.append((i, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+    lots.sort(key=lambda r: (r[0] is not None, r[0] or 0, place.get(r, 0)))
+    for i, n, crc in lots:
+        want[(i, start, n, crc)] += 1
+        start += n
     assert Counter(map(tuple, got)) == want
 
 
@@ -489,10 +493,90 @@ def test_added_tokens_as_the_library_has_them():
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
     texts = ["end <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b c, d", "plain words here", "<|endoftext| > a", "", "end <|endoftext|> \n x"]
-    got = tokens.encoder_of(tokens.vocabulary_path(), added_tokens=True).batch(texts)
+    got = tokens.encoder_of(tokens.vocabulary_path()).batch(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_is_the_library_on_any_text():
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(tokens.vocabulary_path()), random.Random(8)
+    odd = [chr(c) for c in (0x323B0, 0x323AF, 0x1C, 0x1F, 0x85, 0xA0, 0x180E, 0x200B, 0x2028, 0x3000, 0x1F600, 0x378, 0xE0001, 0x10FFFF, 0xFEFF, 0x2E5E, 0xA7F2)]
+    pieces = ["word", " word", "two", " ", "  ", "\n", " \n", "\t", "don't", " don't", "'s", " 's", "'LL", "12", " 345", "!?", " (", "é", " Straße", "日本", " 日本", "<|endoftext|>", "<|endoftext"]
+    texts = ["".join(rng.choice(pieces) if rng.random() < 0.9 else rng.choice(odd) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice((rng.randrange(32, 0x250), rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x110000)))) for _ in range(9)) for _ in range(4000)]
+    texts += [f"a{x} b{x}c {x} {x}d" for x in odd]
+    got = tokens.encoder_of(tokens.vocabulary_path()).batch(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_shards_of_any_ids(spark, monkeypatch):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(i, f"text {i} " * 5) for i in range(300)] + [(10**15, "far")] + [(low, "a"), (high, "b"), (None, "n"), (None, "m")] + [(7, f"hot {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(tokens, "MOST_TOKENS", 60)
+    seen = []
+    for parts in (1, 7):
+        out = common.scratch(spark, "t")
+        files = tokens.write_tokens(df.repartition(parts), out, tokens.vocabulary_path(), shard_bytes=500).collect()
+        seen.append(sorted((f.name, f.sha256) for f in files))
+        got = sorted(tokens.read_documents(spark, out).collect(), key=lambda r: r.start)
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+        assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+        assert all(r.start + r.n_tokens == s.start for r, s in zip(got, got[1:], strict=False))
+    assert seen[0] == seen[1] and len({n[:6] for n, _ in seen[0]}) > 30
+    one = spark.createDataFrame([(5, "same")] * 50, "doc_id long, text string")
+    out = common.scratch(spark, "t")
+    assert {f.shard for f in tokens.write_tokens(one, out, tokens.vocabulary_path(), shard_bytes=100).collect()} == {0}
+    assert tokens.read_documents(spark, out).count() == 50
+
+
+def test_more_shards_than_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_TASKS", 3)
+    df = spark.range(5000).select(F.col("id").alias("key"), F.lit(0).cast("long").alias("tie"), F.lit(10).cast("long").alias("weight"))
+    dealt = common.in_range_shards(df, df, "key", "tie", 10).withColumn("p", F.spark_partition_id()).collect()
+    assert [r.key for r in sorted(dealt, key=lambda r: (r["_shard"], r.key))] == list(range(5000))
+    assert {r["_shard"] for r in dealt} == set(range(5000)) and len({r.p for r in dealt}) == 3
+    cuts = common.range_cuts(df.repartition(5), 95)
+    assert (cuts.keys == [k for k in range(5000) if k == 0 or 10 * k // 95 > 10 * (k - 1) // 95]).all()
+
+
+def test_damaged_files_are_found(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    out = f"file://{tmp_path}/tokens"
+    tokens.write_tokens(df, out, tokens.vocabulary_path())
+    path = next((tmp_path / "tokens").glob("*.twm"))
+    data = bytearray(path.read_bytes())
+    data[9] ^= 1
+    path.write_bytes(data)
+    with pytest.raises(Exception, match="manifest|decompress"):
+        tokens.read_documents(spark, out).collect()
+    tokens.write_tokens(df.limit(7), out, tokens.vocabulary_path())  # a second run takes the place of the first
+    assert tokens.read_documents(spark, out).count() == 7
+
+
+def test_commit_resumes_after_a_crash(spark, tmp_path, monkeypatch):
+    from tessella.llm import files
+
+    out = f"file://{tmp_path}/warc"
+    pages = page_rows(spark, PAGES)
+    monkeypatch.setattr(files, "resume", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        warc.write_warc(pages, out)
+    monkeypatch.undo()
+    assert not list((tmp_path / "warc").glob("*.warc.gz"))
+    done = files.resume(spark, out).collect()
+    assert done and warc.read_warc(spark, out).count() == len(PAGES)
+    assert files.resume(spark, out).collect() == done
+    # A crash between renames: files that are there already stay, the others follow.
+    with pytest.raises(FileNotFoundError):
+        files.resume(spark, f"file://{tmp_path}/nothing")
+    assert [r.sha256 for r in warc.write_warc(pages, out).collect()] == [r.sha256 for r in done]
+
+
 def test_wavelet_matrix_answers(tmp_path):
     import numpy as np
 
