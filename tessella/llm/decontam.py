@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import session_of, small_batches, staged
+from .common import open_fs, scratch, session_of, small_batches, staged
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 15
@@ -64,9 +64,9 @@ class Pattern:
 
 
 class Matcher:
-    """Finds items in texts. Built once in each task from the items of a block."""
+    """Finds items in texts. ``items``: (id, normal form between spaces), each form once."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int) -> None:
+    def __init__(self, items: list[tuple[object, str]], chars_per_edit: int) -> None:
         import ahocorasick
 
         self.patterns, self.edits = [Pattern(t) for _, t in items], [budget(len(t), chars_per_edit) for _, t in items]
@@ -109,58 +109,98 @@ class Matcher:
         return best
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """(item_id, text, block) of the items with text, and the number of blocks of about ``block_bytes`` by running sums."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    rows = staged(rows, "items")
-    size = F.octet_length("text").cast("long") + 64
-    lots = rows.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(1024)).alias("lot")).agg(F.sum(size).alias("bytes"))
+ITEMS = "ids array<long>, form string, block int"
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[str, int]:
+    """Write the items to the shared folder, in blocks of about ``block_bytes`` by running sums; (path, number of blocks).
+
+    An item is a normal form with the ids that have it, so equal items are searched once. Each block is a folder ``block=n`` that a task reads by itself.
+    """
+    spark = session_of(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            forms = [normal(t) for t in b.column(1).to_pylist()]
+            rows = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([f" {f} " if f else None for f in forms], pa.string())], ["id", "form"])
+            yield rows.filter(pa.array([bool(f) for f in forms], pa.bool_()))
+
+    forms = benchmark.select("item_id", "text").mapInArrow(run, "id long, form string")
+    # Null ids count as an id of their own; the array is as long as an item has ids.
+    forms = staged(forms.distinct().groupBy("form").agg(F.collect_list(F.struct("id")).alias("i")).select(F.col("i.id").alias("ids"), "form"), "items")
+    lot = F.pmod(F.xxhash64("form"), F.lit(1024))
+    lots = forms.groupBy(lot.alias("lot")).agg(F.sum(F.octet_length("form").cast("long") + 64).alias("bytes"))
     upto = F.sum("bytes").over(Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     block = lots.select(F.col("lot").alias("_lot"), F.floor((upto - 1) / block_bytes).cast("int").alias("block"))
     last = block.agg(F.max("block")).first()[0]
-    rows = rows.join(block, F.pmod(F.xxhash64("item_id", "text"), F.lit(1024)) == F.col("_lot")).select("item_id", "text", "block")
-    return rows, 0 if last is None else last + 1
+    path = scratch(spark, "item-blocks")
+    forms.join(F.broadcast(block), lot == F.col("_lot")).select("ids", "form", "block").write.partitionBy("block").parquet(path)
+    return path, 0 if last is None else last + 1
+
+
+_matchers: dict[tuple[str, int, int], tuple[list[list[int | None]], Matcher]] = {}
+
+
+def matcher_of(path: str, block: int, chars_per_edit: int) -> tuple[list[list[int | None]], Matcher]:
+    """(ids of each item, matcher) of a block, read from the shared folder. A Python worker keeps the last one for its next tasks."""
+    key = (path, block, chars_per_edit)
+    if key not in _matchers:
+        import pyarrow.dataset as ds
+
+        _matchers.clear()
+        fs, base = open_fs(f"{path}/block={block}")
+        schema = pa.schema([("ids", pa.list_(pa.int64())), ("form", pa.string())])
+        rows = ds.dataset(base, schema=schema, filesystem=fs, format="parquet").to_table()
+        items = sorted(zip(rows["form"].to_pylist(), rows["ids"].to_pylist(), strict=True), key=lambda r: r[0])
+        _matchers[key] = [ids for _, ids in items], Matcher([(None, form) for form, _ in items], chars_per_edit)
+    return _matchers[key]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
-    """Test items found in documents: doc_id, item_id, distance (edits of the best place), one row a pair.
+    """Test items found in documents: doc_id, item_id, distance (edits of the best place), one row a pair of ids.
 
     Texts and items are compared in normal form (``normal``). An item of n characters may differ by n // ``chars_per_edit`` edits
     from a stretch of the text. It is cut into one piece more than that, so at least one piece stands in the stretch unchanged: all pieces of all items are
     searched at once by an automaton, and each place where one is found is decided by Myers' distance over the stretch it implies. No
     pair within the budget is missed.
 
-    The documents are read where they lie, whole, and nothing is shuffled. Items go to the executors in blocks of ``block_bytes``, one
-    after the other, whatever the size of the benchmark. Null or empty texts match nothing; items without letters or digits are left out; items too
-    short for an edit must match exactly, as whole words. Repeated items count once each by id. Null ids are reported as null. Empty tables give no rows.
+    The documents are read where they lie, whole, and only what is found is shuffled: of rows that repeat a doc_id or an item_id the least distance
+    counts, whatever partitions they stand in. Items lie in the shared folder in blocks of ``block_bytes`` and are searched block by
+    block, whatever the size of the benchmark; a worker holds one block, the driver none. Null or empty texts match nothing; items without letters or digits
+    are left out; items too short for an edit must match exactly, as whole words. Null ids are reported as null. Empty tables give no rows.
 
-    With ``keep``, the documents without any match are returned instead, with all their columns.
+    With ``keep``, the documents without any match are returned instead, as they are, with all their columns.
     """
     small_batches(session_of(docs))
-    rows, n = item_blocks(benchmark, block_bytes)
-    out = docs if keep else None
+    path, n = item_blocks(benchmark, block_bytes)
+    if keep:
+        for block in range(n):
+            docs = _clean(docs, path, block, chars_per_edit)
+        return docs
+    found = docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("int").alias("distance")).where("false")
     for block in range(n):
-        items = [(r[0], f" {t} ") for r in rows.where(F.col("block") == block).select("item_id", "text").collect() if (t := normal(r[1]))]
-        found = _search(out if keep else docs, items, chars_per_edit, keep)
-        out = found if keep or out is None else out.unionByName(found)
-    if out is None:
-        return docs.select(F.col("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("int").alias("distance")).where("false")
-    return out
+        found = found.unionByName(_search(docs, path, block, chars_per_edit))
+    return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], chars_per_edit: int, keep: bool) -> DataFrame:
+def _search(docs: DataFrame, path: str, block: int, chars_per_edit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, chars_per_edit)
+        kinds = (pa.int64(), pa.int64(), pa.int32())
         for b in batches:
-            found = [matcher.find(normal(t)) for t in b.column("text").to_pylist()]
-            if keep:
-                yield b.filter(pa.array([not f for f in found], pa.bool_()))
-                continue
-            ids = b.column("doc_id").to_pylist()
-            rows = sorted({(d, items[i][0], n) for d, f in zip(ids, found, strict=True) for i, n in f.items()}, key=lambda r: tuple((x is not None, x or 0) for x in r))
+            ids, matcher = matcher_of(path, block, chars_per_edit)
+            rows = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows += [(doc_id, i, d) for item, d in matcher.find(normal(text)).items() for i in ids[item]]
             cols = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance"])
 
-    if keep:
-        return docs.mapInArrow(run, docs.schema)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance int")
+
+
+def _clean(docs: DataFrame, path: str, block: int, chars_per_edit: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, matcher = matcher_of(path, block, chars_per_edit)
+            yield b.filter(pa.array([not matcher.find(normal(t)) for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -366,7 +366,9 @@ def test_matches_are_all_matches(spark, docs, sf_dir):
     texts += [(1000, None), (1001, ""), (1002, "a cat sat"), (1003, "concatenate"), (None, "cat"), (1002, "a cat sat")]
     d = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, item_id int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {tuple(r) for r in decontam.matches(d, b, block_bytes=600).collect()}
+    rows = decontam.matches(d, b, block_bytes=600).collect()
+    got = {tuple(r) for r in rows}
+    assert len(got) == len(rows)
     want = set()
     for i, t in items:
         p = decontam.normal(t)
@@ -374,6 +376,9 @@ def test_matches_are_all_matches(spark, docs, sf_dir):
             if p and (n := edit_search(f" {p} ", f" {decontam.normal(x)} ")) <= decontam.budget(len(p) + 2):
                 want.add((j, i, n))
     assert got == want and len(want) > 40
+    twice = d.unionByName(d)
+    for parts in (1, 4, 211):
+        assert Counter(map(tuple, decontam.matches(twice.repartition(parts), b).collect())) == Counter(want)
     clean = {r.doc_id for r in decontam.matches(d, b, keep=True).collect()}
     assert clean == {j for j, _ in texts} - {j for j, _, _ in want}
     assert decontam.matches(d, b.where("false")).count() == 0 and decontam.matches(d.where("false"), b).count() == 0
