@@ -15,6 +15,8 @@ BINS = 1024
 #: Ties of a dimension are cut by copy group, then by row, then by the row's place in the staged table.
 TIES = ("_t1", "_t2", "_t3")
 RANGE = float(1 << 53)
+#: Rows that one task numbers.
+SLOT_ROWS = 100_000
 
 
 @dataclass
@@ -28,9 +30,15 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def text_code(c: Column) -> Column:
-    """A number that grows with the code point order of a string's first six bytes; -1 for null."""
-    first = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+def common_prefix(low: str | None, high: str | None) -> int:
+    """Bytes that all strings between the smallest and the largest share."""
+    a, b = (low or "").encode("utf-8", "surrogatepass"), (high or "").encode("utf-8", "surrogatepass")
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def text_code(c: Column, skip: int = 0) -> Column:
+    """A number that grows with the code point order of a string's six bytes after the first ``skip``, which all share; -1 for null."""
+    first = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, 6)), 12, "0")
     return F.when(c.isNull(), F.lit(-1.0)).otherwise(F.conv(first, 16, 10).cast("double"))
 
 
@@ -58,13 +66,13 @@ def kd_shards(
     names = [f"_d{i}" for i in range(len(dims))]
     table = rows.withColumns(
         {n: F.coalesce(c.cast("double"), F.lit(-1.0)) for n, c in zip(names, dims.values(), strict=True)}
-        | {"_t1": _unit(F.xxhash64(copies)), "_t2": _unit(F.xxhash64(ident, copies)), "_t3": (F.monotonically_increasing_id() % (1 << 52)).cast("double"), "_w": F.coalesce(F.col(weight), F.lit(0)).cast("long")}
+        | {"_t1": _unit(F.xxhash64(copies)), "_t2": _unit(F.xxhash64(ident, copies)), "_t3": _unit(F.xxhash64(F.monotonically_increasing_id())), "_w": F.coalesce(F.col(weight), F.lit(0)).cast("long")}
     )
     table = staged(table, "kd")
     spark = session_of(rows)
-    bounds = table.agg(F.sum("_w"), *[f(n) for n in names for f in (F.min, F.max)]).first()
+    bounds = table.agg(F.sum("_w"), F.count("*"), *[f(n) for n in names for f in (F.min, F.max)]).first()
     total = bounds[0] or 0
-    whole = [(bounds[1 + 2 * i], bounds[2 + 2 * i]) for i in range(len(names))]
+    whole = [(bounds[2 + 2 * i], bounds[3 + 2 * i]) for i in range(len(names))]
     if total == 0:
         whole = [(0.0, 0.0) for _ in names]
     root = Node(shards, 0, whole)
@@ -92,8 +100,8 @@ def kd_shards(
         keyed = keyed.withColumn("_node", _step(level, names))
         level = below
     first = F.lit([n.first for n in level])
-    keyed = keyed.withColumn("shard", F.element_at(first, F.col("_node") + 1)).drop("_node", *names, "_t1", "_t2", "_w")
-    return _slots(keyed).drop("_t3")
+    keyed = keyed.withColumn("shard", F.element_at(first, F.col("_node") + 1)).drop("_node", *names, "_w")
+    return _slots(keyed, max(64, -(-bounds[1] // (shards * SLOT_ROWS)))).drop(*TIES)
 
 
 def _step(level: list[Node], names: list[str]) -> Column:
@@ -166,13 +174,14 @@ def _cuts(spark, keyed: DataFrame, nodes: list[Node], names: list[str], slack: f
         n.cut = tuple(float(x) for x in n.cut)
 
 
-def _slots(df: DataFrame, ways: int = 64) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps; a shard is numbered in ``ways`` parts side by side."""
-    df = df.withColumn("_part", F.pmod(F.xxhash64("_t3"), F.lit(ways)).cast("int"))
+def _slots(df: DataFrame, ways: int) -> DataFrame:
+    """Number the rows of each shard from 0 without gaps; a shard is numbered in ``ways`` parts side by side, by hashes of the rows: the order
+    does not depend on files, and rows that change places are equal in all that it knows."""
+    df = df.withColumn("_part", F.pmod(F.xxhash64(*TIES[:2]), F.lit(ways)).cast("int"))
     parts = df.groupBy("shard", "_part").agg(F.count("*").alias("_n"))  # at most shards x ways rows
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("shard").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("shard", "_part").orderBy("_t3")
+    own = Window.partitionBy("shard", "_part").orderBy(*TIES)
     df = df.withColumn("_row", F.row_number().over(own))
     df = df.join(F.broadcast(parts), (F.col("shard") == F.col("_s")) & (F.col("_part") == F.col("_p")))
     return df.withColumn("slot", (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_s", "_p", "_before", "_row")
@@ -182,16 +191,17 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot and grown_shard (null) for every document.
 
     Size is the UTF-8 bytes of the text (null: none) plus 16; shards get near-equal sizes. The dimensions of the tree are
-    doc_id, size, language and source. text_crc32 of a null text is that of an empty one. Null ids and repeated rows are sharded
-    as rows of their own. Slots follow the staged order and so agree between reruns only over the same files in the same order.
+    doc_id, size, language and source (by six bytes after what all names share). text_crc32 of a null text is that of an empty one. Null ids and
+    repeated rows are sharded as rows of their own. Reruns agree, but for rows that are equal in text and id.
     """
     text = F.col("text")
+    ends = docs.agg(*[f(c) for c in ("lang", "source") for f in (F.min, F.max)]).first()
     narrow = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        text_code(F.col("lang")).alias("_lang"),
-        text_code(F.col("source")).alias("_source"),
+        text_code(F.col("lang"), common_prefix(ends[0], ends[1])).alias("_lang"),
+        text_code(F.col("source"), common_prefix(ends[2], ends[3])).alias("_source"),
     )
     dims = {"id": F.col("doc_id"), "size": F.col("size"), "lang": F.col("_lang"), "source": F.col("_source")}
     out = kd_shards(narrow, shards, "size", dims, F.struct("text_crc32", "size"), F.col("doc_id"))

@@ -58,38 +58,55 @@ def _few(table: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+#: Bins of keys to an octave: a key's hump, whatever its scale, fills some hundred of them.
+OCTAVE = 64
+
+
+def _ends(sums: DataFrame, by: str, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the rest of each source ends among sums in the order of ``by``.
+
+    ``sums``: source, ``by``, w (size), n (rows), most (largest key); ``rest``: _s, _rest (what is left to take). Returns (_s, _c, _n, _rest) of the
+    one lot a source in which it ends, _rest being what is left when the lot begins, and (source, cut) of the lots that are taken whole.
+    """
+    upto = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("_upto", F.sum("w").over(upto)).join(rest, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("_rest") > 0)
+    begin = F.col("_upto") - F.col("w")
+    ends = sums.where((F.col("_upto") > F.col("_rest")) & (begin < F.col("_rest")))
+    whole = sums.where(F.col("_upto") <= F.col("_rest")).groupBy("source").agg(F.max("most").alias("cut"))
+    return ends.select("_s", F.col(by).alias("_c"), F.col("n").alias("_n"), (F.col("_rest") - begin).alias("_rest")), whole
+
+
+def _sums(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy("source", by).agg(F.sum("_size").alias("w"), F.count("*").alias("n"), F.max("_key").alias("most"))
+
+
 def mix_plan(rows: DataFrame, weights: Sequence[float], cap: float, bucket_rows: int) -> DataFrame:
     """One row a source: source, source_size, target, epochs, and cut, the largest key that is taken once more (or null).
 
-    ``rows``: source, _size, _key, read several times. No source is ever sorted as a whole: keys are dealt into buckets of about
-    ``bucket_rows`` rows, bucket sums are added up within the source, and only the bucket in which the remainder ends is sorted.
+    ``rows``: source, _size, _key, read several times. No source is ever sorted as a whole: keys are dealt into bins of equal width on a log
+    scale, so that weights of any scale spread alike; the bin in which the rest ends is dealt into buckets of about ``bucket_rows`` rows; and of the bucket in which
+    it ends the different keys are sorted. Sums of bins and buckets are prefix-summed within the source. Equal rows, of any number, have one key.
     """
-    per = rows.groupBy("source").agg(F.sum("_size").alias("size"), F.count("*").alias("_n"), F.percentile_approx("_key", 0.5, 1000).alias("_median"))
-    per = staged(per, "mix-sources")
-    plan = targets(per.select("source", "size"), weights, cap)
+    per = staged(rows.groupBy("source").agg(F.sum("_size").alias("size")), "mix-sources")
+    plan = targets(per, weights, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0)
     plan = plan.withColumn("epochs", epochs.cast("long"))
-    plan = plan.withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    # Keys are near-exponential, so 1 - 2 ** -(key / median) spreads them evenly; any growing function keeps the order right.
-    info = _few(per.select(F.col("source").alias("_s"), "_n", "_median"))
+    plan = staged(plan.withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "mix-targets")
+    rest = plan.select(F.col("source").alias("_s"), "_rest")
+    place = F.log2(F.greatest(F.col("_key"), F.lit(1e-300))) * OCTAVE
+    binned = rows.withColumn("_b", F.floor(place))
+    ends, whole = _ends(_sums(binned, "_b"), "_b", rest)
+    ends = _few(staged(ends, "mix-ends"))
+    at_end = binned.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
     buckets = F.ceil(F.col("_n") / bucket_rows)
-    share = 1 - F.exp(-F.lit(0.6931471805599453) * F.col("_key") / F.greatest(F.col("_median"), F.lit(1e-300)))
-    dealt = rows.join(info, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_b", F.least(buckets - 1, F.floor(share * buckets)).cast("int")).drop("_s", "_n", "_median")
-    sums = dealt.groupBy("source", "_b").agg(F.sum("_size").alias("_sum"), F.max("_key").alias("_most"))
-    upto = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumns({"_upto": F.sum("_sum").over(upto), "_most": F.max("_most").over(upto)})
-    short = plan.select(F.col("source").alias("_s"), "_rest")
-    sums = sums.join(short, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").where(F.col("_rest") > 0)
-    ends = sums.where((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_sum") < F.col("_rest")))
-    ends = ends.select(F.col("source").alias("_s"), F.col("_b").alias("_c"), "_rest", (F.col("_upto") - F.col("_sum")).alias("_before"))
-    at_end = dealt.join(_few(ends), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
-    # The default frame takes equal keys, which only equal rows have, together.
-    same, through = Window.partitionBy("source", "_key"), F.col("_before") + F.sum("_size").over(Window.partitionBy("source").orderBy("_key"))
-    at_end = at_end.withColumns({"_through": through, "_own": F.sum("_size").over(same)})
+    at_end = at_end.select("source", "_size", "_key", F.least(buckets - 1, F.floor((place - F.col("_b")) * buckets)).cast("long").alias("_d"))
+    inner, more = _ends(_sums(at_end, "_d"), "_d", ends.select("_s", "_rest"))
+    last = at_end.join(_few(inner), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_d") == F.col("_c")))
+    last = last.groupBy("source", "_key").agg(F.sum("_size").alias("_own"), F.first("_rest").alias("_rest"))
+    last = last.withColumn("_through", F.sum("_own").over(Window.partitionBy("source").orderBy("_key")))
     over, under = F.col("_through") - F.col("_rest"), F.col("_rest") - (F.col("_through") - F.col("_own"))
-    taken = at_end.where((over <= 0) | ((under > 0) & (over < under))).groupBy("source").agg(F.max("_key").alias("_cut"))
-    whole = sums.where(F.col("_upto") <= F.col("_rest")).groupBy("source").agg(F.max("_most").alias("_cut"))
-    cuts = taken.unionByName(whole).groupBy("source").agg(F.max("_cut").alias("cut")).withColumnRenamed("source", "_s")
+    taken = last.where((over <= 0) | ((under > 0) & (over < under))).groupBy("source").agg(F.max("_key").alias("cut"))
+    cuts = taken.unionByName(whole).unionByName(more).groupBy("source").agg(F.max("cut").alias("cut")).withColumnRenamed("source", "_s")
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left")
     return staged(plan.select("source", "source_size", "target", "epochs", "cut"), "mix-plan")
 
@@ -122,11 +139,13 @@ def mix(
 def mixed_documents(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 11, bucket_rows: int = BUCKET_ROWS, quality: Column | None = None
 ) -> DataFrame:
-    """The mixed documents: each row as often as ``mix`` takes it, with the columns of ``docs``. The texts are not shuffled:
-    a row's key is computed where it lies and compared with its source's cut. Names that begin with ``_`` are reserved."""
-    keyed = _narrow(docs, seed, quality)
-    rows = staged(keyed.select("source", "_size", "_key"), "mix")
-    plan = mix_plan(rows, weights, cap, bucket_rows).select(F.col("source").alias("_s"), "epochs", "cut")
+    """The mixed documents: each row as often as ``mix`` takes it, with the columns of ``docs``, whatever their names. The texts are not shuffled:
+    a row's key is computed where it lies and compared with its source's cut."""
+    weight = [] if quality is None else [quality.alias("_q")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *weight)
+    packed = packed.select("_row", "_row.doc_id", "_row.source", "_row.text", *["_q"] * len(weight))
+    keyed = _narrow(packed, seed, F.col("_q") if weight else None)
+    plan = mix_plan(staged(keyed.select("source", "_size", "_key"), "mix"), weights, cap, bucket_rows).select(F.col("source").alias("_s"), "epochs", "cut")
     out = keyed.join(_few(plan), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_copies", _copies().cast("int"))
-    out = out.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.where(F.col("_copies") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select("_row.*")

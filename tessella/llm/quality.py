@@ -120,6 +120,19 @@ def first_failing(f: Features, order: list[str], rules: dict[str, Callable] = RU
     return next((name for name in order if rules[name](f)), None)
 
 
+def keep_good(docs: DataFrame, order: list[str] | None = None, rules: dict[str, Callable] = RULES) -> DataFrame:
+    """The documents that no rule rejects, as they are: the cascade of ``judge`` with all columns kept, whatever their names."""
+    small_batches(session_of(docs))
+    order = order or cascade_order(measure(docs, rules)) or list(rules)
+
+    def run(batches):
+        vocabulary = Vocabulary()
+        for b, texts in _texts(batches):
+            yield b.filter(pa.array([first_failing(Features(t, vocabulary), order, rules) is None for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, order: list[str] | None = None, digest: bool = False, rules: dict[str, Callable] = RULES) -> DataFrame:
     """Add ``kept`` and ``rejected_by`` to the documents; with ``digest``, return doc_id and the counts of the base instead.
 

@@ -167,6 +167,35 @@ def test_mix(spark, table):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+@pytest.mark.parametrize("bucket_rows", [3, 1000])
+def test_mix_takes_the_smallest_keys(spark, docs, bucket_rows):
+    """The Efraimidis-Spirakis order against brute force, with a hump of documents without quality, and rows that repeat."""
+    q = F.when(F.col("doc_id") % 3 == 0, 0.0).when(F.col("doc_id") % 3 == 1, 1e-5).otherwise(1.0)
+    some = docs.unionByName(docs.where("doc_id % 10 = 1"))
+    keys = defaultdict(list)
+    for r in mixing._narrow(some, 11, q).select("doc_id", "source", "_size", "_key").collect():
+        keys[r.source].append((r["_key"], r.doc_id, r["_size"]))
+    got = mixing.mix(some, bucket_rows=bucket_rows, quality=q).collect()
+    for source, rows in keys.items():
+        mine = [r for r in got if r.source == source]
+        rest = mine[0].target - (mine[0].target // mine[0].source_size if mine[0].source_size else 0) * mine[0].source_size
+        sums = defaultdict(int)
+        for k, _, n in rows:
+            sums[k] += n
+        extra, at = set(), 0
+        for k in sorted(sums):
+            if at + sums[k] <= rest or (at < rest and at + sums[k] - rest < rest - at):
+                extra.add(k)
+            at += sums[k]
+        base = int(mine[0].target / max(mine[0].source_size, 1) + 1e-9)
+        assert Counter((r.doc_id, r.copies) for r in mine) == Counter((i, base + (k in extra)) for k, i, _ in rows)
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 77, "mine", 3, "r")], "doc_id long, text string, source string, _size int, kept string, _key int, _row string")
+    assert [tuple(r) for r in mixing.mixed_documents(df).collect()] == [(1, "a b", "s", 77, "mine", 3, "r")]
+
+
 def test_mixed_documents_are_the_mix(docs):
     n = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     out = mixing.mixed_documents(docs)
@@ -460,6 +489,13 @@ def test_quality_verdict_does_not_depend_on_order(docs):
     assert a == digest
 
 
+def test_keep_good_keeps_columns_of_any_name(spark, docs):
+    df = docs.withColumn("kept", F.lit("mine")).withColumn("rejected_by", F.lit(7))
+    want = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    got = quality.keep_good(df).collect()
+    assert {r.doc_id for r in got} == want and {(r.kept, r.rejected_by) for r in got} == {("mine", 7)}
+
+
 def test_cascade_order_and_short_circuit():
     assert quality.cascade_order([("dear", 1e-3, 0.2), ("cheap", 1e-6, 0.1), ("idle", 1e-6, 0.0)]) == ["cheap", "dear", "idle"]
     ran = []
@@ -719,6 +755,15 @@ def test_kd_splits_ties(spark):
     assert len(n) == 40 and max(n.values()) - min(n.values()) <= 10
 
 
+def test_kd_reruns_agree_and_prefixes_do_not_hide_sources(spark, docs):
+    rows = [tuple(r) for r in kdshard.shard_documents(docs).collect()]
+    assert Counter(rows) == Counter(tuple(r) for r in kdshard.shard_documents(docs.repartition(7)).collect())
+    assert kdshard.common_prefix("https://a", "https://b") == 8 and kdshard.common_prefix(None, None) == 0
+    df = spark.createDataFrame([("common-prefix-a",), ("common-prefix-b",), (None,)], "s string")
+    codes = [r[0] for r in df.select(kdshard.text_code(F.col("s"), 14)).collect()]
+    assert codes[0] < codes[1] and codes[2] == -1.0
+
+
 # --- all ----------------------------------------------------------------------------------------------------------------
 
 
