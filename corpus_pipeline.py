@@ -12,7 +12,7 @@ from tessella.llm.common import scratch
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that a rule rejects go; null and empty texts are among them."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
