@@ -7,7 +7,7 @@ the tests hold them against brute force.
 from __future__ import annotations
 
 from .quality import SYMBOLS
-from .urlfilter import LOWER, RULES, UPPER
+from .urlfilter import LOWER, PUBLIC_SUFFIXES, RULES, UPPER
 
 _W = r"[^\x20\x09-\x0D]+"
 
@@ -30,14 +30,24 @@ def _kappa(level: str) -> str:
       FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, m)) AS c FROM {level})))"""
 
 
+_suffixes = ", ".join(f"'{s}'" for s in PUBLIC_SUFFIXES)
+_psi = "(ln({0} + 2) - 1 / (2 * ({0} + 2)) - 1 / (12 * ({0} + 2) ^ 2) - 1 / ({0} + 1) - 1 / {0})".format
+_psi1 = "(1 / ({0} + 2) + 1 / (2 * ({0} + 2) ^ 2) + 1 / (6 * ({0} + 2) ^ 3) + 1 / ({0} + 1) ^ 2 + 1 / {0} ^ 2)".format
+_psi2 = "(-1 / ({0} + 2) ^ 2 - 1 / ({0} + 2) ^ 3 - 1 / (2 * ({0} + 2) ^ 4) - 2 / ({0} + 1) ^ 3 - 2 / {0} ^ 3)".format
+_Z = 1.645
+_odds = f"({_psi('a')} - {_psi('b')} - {_Z} * sqrt({_psi1('a')} + {_psi1('b')}) + {(_Z * _Z - 1) / 6} * ({_psi2('a')} - {_psi2('b')}) / ({_psi1('a')} + {_psi1('b')}))"
+
 OP4 = f"""WITH u AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN NULL ELSE substr(url, instr(url, '://') + 3) END AS r FROM pages),
  p AS (SELECT page_id, coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
  o AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
- h AS (SELECT host, regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad FROM p LEFT JOIN o ON page_id = doc_id GROUP BY host),
+ h0 AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(?::\\d*)?$', '') AS name, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad FROM p LEFT JOIN o ON page_id = doc_id GROUP BY host),
+ h1 AS (SELECT *, regexp_matches(name, '^\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}$') OR starts_with(name, '[') AS address, regexp_extract(name, '[^.]+\\.[^.]*$') IN ({_suffixes}) AS two FROM h0),
+ h AS (SELECT host, CASE WHEN address THEN '#' WHEN two THEN regexp_extract(name, '[^.]+\\.[^.]*$') ELSE regexp_extract(name, '[^.]*$') END AS suffix,
+   CASE WHEN address THEN name WHEN two THEN regexp_extract(name, '(?:[^.]*\\.)?[^.]+\\.[^.]*$') ELSE regexp_extract(name, '(?:[^.]*\\.)?[^.]*$') END AS domain, n, bad FROM h1),
  s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM h) AS m FROM h GROUP BY suffix), s2 AS (SELECT suffix, (k * m + bad) / (k + n) AS m FROM s, (SELECT {_kappa('s')} AS k)),
  d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h JOIN s2 USING (suffix) GROUP BY domain, suffix), d2 AS (SELECT domain, (k * m + bad) / (k + n) AS m FROM d, (SELECT {_kappa('d')} AS k)),
- g AS (SELECT host, n, bad, m FROM h JOIN d2 USING (domain)), g2 AS (SELECT host, k + n AS kn, (k * m + bad) / (k + n) AS rate FROM g, (SELECT {_kappa('g')} AS k)),
- b AS (SELECT host, round(rate - 1.645 * sqrt(rate * (1 - rate) / (kn + 1)), 9) AS bound FROM g2)
+ g AS (SELECT host, n, bad, m FROM h JOIN d2 USING (domain)), g2 AS (SELECT host, k * m + bad AS a, k * (1 - m) + n - bad AS b FROM g, (SELECT {_kappa('g')} AS k)),
+ b AS (SELECT host, round(1 / (1 + exp(-{_odds})), 9) AS bound FROM g2)
 SELECT page_id, host, path, CASE {' '.join(f"WHEN {_fits(t)} THEN '{t}'" for _, t in _rules)} END AS rule,
  CASE {' '.join(f"WHEN {_fits(t)} THEN '{v}'" for v, t in _rules)} WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict FROM p JOIN b USING (host)"""
 

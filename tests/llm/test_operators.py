@@ -365,6 +365,34 @@ def test_reputation_shrinks(spark):
     assert rep["new.a.com"].rate > rep["one.b.com"].rate - 0.5 and rep["new.a.com"].bound < rep["bad.a.com"].bound
 
 
+def beta_quantile(a, b, p):
+    """By the sum of the density over a fine grid of log odds."""
+    import numpy as np
+
+    x = np.linspace(-60, 60, 400_001)
+    log_density = -a * np.logaddexp(0, -x) - b * np.logaddexp(0, x)
+    w = np.cumsum(np.exp(log_density - log_density.max()))
+    return 1 / (1 + np.exp(-x[np.searchsorted(w, p * w[-1])]))
+
+
+def test_lower_bound_is_near_the_beta_quantile(spark):
+    cases = [(a, b) for a in (1.0, 2.5, 6.0, 30.0, 400.0) for b in (1.0, 4.0, 12.0, 90.0, 1000.0)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    for r in df.select("a", "b", urlfilter.lower_bound(F.col("a"), F.col("b"), 1.645).alias("x")).collect():
+        exact = beta_quantile(r.a, r.b, 0.05)
+        assert 0 < r.x < 1 and abs(r.x - exact) < 0.002
+    few = spark.createDataFrame([(0.02, 2.0), (0.3, 2.0), (1e-6, 200.0)], "a double, b double")
+    assert all(0 <= r.x < 0.05 for r in few.select(urlfilter.lower_bound(F.col("a"), F.col("b"), 1.645).alias("x")).collect())
+
+
+def test_registered_domains(spark):
+    names = ["www.shop.co.uk", "co.uk", "a.b.example.com:8080", "10.0.0.1:80", "user@x.org", "localhost", "", "[::1]", "x.org.", "news.gov.au"]
+    df = spark.createDataFrame([(n,) for n in names], "h string")
+    got = df.select(urlfilter.domain_of(F.col("h")).alias("d"), urlfilter.suffix_of(F.col("h")).alias("s")).collect()
+    assert [r.d for r in got] == ["shop.co.uk", "co.uk", "example.com", "10.0.0.1", "x.org", "localhost", "", "[::1]", "x.org", "news.gov.au"]
+    assert [r.s for r in got] == ["co.uk", "co.uk", "com", "#", "org", "localhost", "", "#", "org", "gov.au"]
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------------
 
 
