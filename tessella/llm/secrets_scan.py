@@ -28,26 +28,57 @@ ORDINARY = {"hex": 1.2, "base32": 0.8, "base36": 1.2, "base64": 2.0}
 STEPS, MOST = 8, 400
 
 
+#: Matches whose positions are added up one by one; lots of so many are added up as wholes, so a text with many matches takes little more than linear time.
+LOT = 256
+
+
+def _total(xs: Column, zero: Column) -> Column:
+    return F.aggregate(xs, zero, lambda a, x: a + x)
+
+
 def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Array of (start, end) of all matches of ``pattern`` whose ``group`` has ``least`` characters, in code points.
 
     The text is split at the matches; the lengths of what lies between and of the matches, added up, are the positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.transform(found, lambda x: F.length(x)) if group == 0 else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    length = lambda xs: F.transform(xs, lambda x: F.length(x))
+    sized = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    steps = F.arrays_zip(length(F.split(text, pattern, -1)).alias("b"), length(found).alias("m"), length(sized).alias("g"))
+    steps = F.slice(steps, 1, F.size(found))
+    lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / LOT).cast("int")), lambda i: F.slice(steps, i * LOT + 1, LOT))
+    wide = F.transform(lots, lambda lot: F.aggregate(lot, F.lit(0), lambda a, x: a + x["b"] + x["m"]))
+    begins = F.aggregate(wide, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
     empty = F.array().cast("array<struct<start:int,end:int,n:int>>")
-    steps = F.arrays_zip(between.alias("b"), F.transform(found, lambda x: F.length(x)).alias("m"), sized.alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.element_at(acc, -1)["end"]) + x["b"]
-        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end"), x["g"].alias("n"))))
+    def placed(lot: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = F.when(F.size(acc) == 0, begin).otherwise(F.element_at(acc, -1)["end"]) + x["b"]
+            return F.concat(acc, F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end"), x["g"].alias("n"))))
+
+        return F.aggregate(lot, empty, step)
 
-    all_ = F.aggregate(F.slice(steps, 1, F.size(found)), empty, step)
+    all_ = F.flatten(F.zip_with(lots, F.slice(begins, 1, F.size(lots)), placed))
     kept = F.transform(F.filter(all_, lambda x: x["n"] >= least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
+def candidates(text: Column) -> Column:
+    """Array of (start, end, token) of the tokens to be tested: what ``CANDIDATE`` matches between the matches of the assign pattern and holds no other
+    base match. A hex or access match lies within one run of a candidate's characters, so the token alone tells that."""
+    assign, _, _ = BASE["assign"]
+    pieces = F.when(text.rlike(assign), F.split(text, assign, -1)).otherwise(F.array(text))
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans(text, assign), lambda s: s["end"]))
+    token = lambda piece, s: F.substr(piece, s["start"] + 1, s["end"] - s["start"])
+
+    def of_piece(piece: Column, begin: Column) -> Column:
+        return F.transform(spans(piece, CANDIDATE), lambda s: F.struct((s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"), token(piece, s).alias("token")))
+
+    found = F.flatten(F.zip_with(pieces, begins, of_piece))
+    free = F.filter(found, lambda c: ~c["token"].rlike(BASE["hex"][0]) & ~c["token"].rlike(BASE["access"][0]))
+    return F.when(text.rlike(CANDIDATE), free).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
+
+
 def _log10_tail(z: Column) -> Column:
     """log10 of P(Z < z) of the normal distribution: a logistic form near the middle, the asymptotic one below -5."""
     a = F.greatest(F.lit(-38.0), F.least(F.lit(8.0), z))
@@ -56,14 +87,20 @@ def _log10_tail(z: Column) -> Column:
     return F.when(a < -5, far).otherwise(middle)
 
 
+def _two_sided(z: Column) -> Column:
+    """ln of P(|Z| > |z|), at least 1e-300 and at most 1."""
+    return F.least(F.lit(0.0), (_log10_tail(-F.abs(z)) + 0.30102999566398120) * 2.302585092994046)
+
+
 def battery(token: Column) -> Column:
-    """Struct (encoding, n, score) of a candidate token; score is -log10 of the p-value of "an ordinary name", null if not random.
+    """Struct (encoding, n, score) of a candidate token; score is -log10 of the p-value of "an ordinary name", at least 0.
 
     The encoding is the narrowest of ``ENCODINGS`` that all characters fit; tokens without a letter or without a digit are words or
-    numbers and get none. The symbols are numbers of the encoding's alphabet, K letters long. (1) Chi-squared of the symbol counts: its deviate
-    from what ordinary text of that length gives (non-central, ``ORDINARY`` a character) is the p-value, and its deviate from uniform, by the
-    Wilson-Hilferty cube root, must be below 3. (2) Runs above and below the middle of the alphabet and (3) the lag-one serial
-    correlation must be within 3 deviations of chance, so sequences and repetitions are no secrets.
+    numbers and get none. The symbols are numbers of the encoding's alphabet, K letters long. Three tests hold the token against random
+    symbols: (1) chi-squared of the symbol counts, its deviate by the Wilson-Hilferty cube root; (2) the runs above and below the middle of the
+    alphabet; (3) the lag-one serial correlation. Fisher's method makes one p-value, r, of the three. The chi-squared is also held against
+    what ordinary names of that length give (non-central, ``ORDINARY`` a character), with the p-value o. The token's p-value is o / r: small if the counts are far
+    from an ordinary name's, and larger the more the battery speaks against chance, so sequences and repetitions are no secrets.
     """
     core = F.regexp_replace(token, "=+$", "")
     mixed = core.rlike("[0-9]") & core.rlike("[A-Za-z]")
@@ -95,8 +132,11 @@ def battery(token: Column) -> Column:
         uniform = (F.pow(F.greatest(t["x2"], F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
         excess = t["ordinary"] * n
         ordinary = (t["x2"] - df - excess) / F.sqrt(2 * (df + 2 * excess))
-        random = (uniform < 3) & (F.abs(F.coalesce(runs, F.lit(9.0))) < 3) & (F.abs(F.coalesce(serial, F.lit(9.0))) < 3)
-        return F.struct(t["encoding"].alias("encoding"), n.cast("int").alias("n"), F.when(random, -_log10_tail(ordinary)).alias("score"))
+        # Without any variation runs and correlation are not defined: as far from chance as can be.
+        logs = _two_sided(uniform) + _two_sided(F.coalesce(runs, F.lit(9.0))) + _two_sided(F.coalesce(serial, F.lit(9.0)))
+        fisher = (logs + F.ln(1 - logs + logs * logs / 2)) / 2.302585092994046
+        score = F.greatest(F.lit(0.0), fisher - _log10_tail(ordinary))
+        return F.struct(t["encoding"].alias("encoding"), n.cast("int").alias("n"), score.alias("score"))
 
     return F.element_at(F.transform(F.transform(coded, sums), tests), 1)
 
@@ -115,7 +155,7 @@ def discovery_limits(scored: DataFrame, rate: float) -> dict[int, int]:
     all_ = Window.partitionBy("class")
     least = all_.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = counts.withColumns({"above": F.sum("n").over(least), "m": F.sum("n").over(all_)})
-    good = c.where((F.col("bin") >= 0) & (F.col("m") * F.pow(F.lit(10.0), -F.col("bin") / STEPS) <= F.lit(rate) * F.col("above")))
+    good = c.where((F.col("m") * F.pow(F.lit(10.0), -F.col("bin") / STEPS) <= F.lit(rate) * F.col("above")))
     return {r[0]: r[1] for r in good.groupBy("class").agg(F.min("bin")).collect()}
 
 
@@ -137,13 +177,10 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     found = docs.select("doc_id", text.alias("text"))
     for kind, (pattern, group, least) in BASE.items():
         found = found.withColumn(kind, spans(F.col("text"), pattern, group, least))
-    found = found.withColumn("_c", spans(F.col("text"), CANDIDATE))
-    free = F.filter("_c", lambda c: ~F.exists(F.concat(*BASE), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = found.withColumn("_c", free)
-    token = lambda c: F.substr(F.col("text"), c["start"] + 1, c["end"] - c["start"])
-    scored = F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(token(c)).alias("t")))
+    found = found.withColumn("_c", candidates(F.col("text")))
+    scored = F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["token"]).alias("t")))
     scored = F.filter(scored, lambda c: c["t"]["encoding"].isNotNull())
-    bin_ = lambda s: F.when(s.isNull(), -1).otherwise(F.least(F.lit(MOST), F.floor(s * STEPS))).cast("int")
+    bin_ = lambda s: F.least(F.lit(MOST), F.floor(s * STEPS)).cast("int")
     scored = F.transform(scored, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(c["t"]["n"]).alias("class"), bin_(c["t"]["score"]).alias("bin")))
     found = staged(found.select("doc_id", *BASE, F.when(F.size("_c") > 0, scored).alias("_c")), "secrets")
     limits = discovery_limits(found.select(F.explode("_c").alias("c")).select("c.class", "c.bin"), rate)

@@ -485,6 +485,21 @@ def test_battery_tells_random_from_ordinary(spark):
     assert len([i for i in hit if i < len(random_)]) > 30 and not [i for i in hit if i >= len(random_)]
 
 
+def test_spans_of_many_matches(spark):
+    """Positions go by lots of ``LOT`` matches; candidates stand between assign matches and hold no other base match."""
+    text = " ".join(f"token=value{i:06d} 0123456789abcdef{i:08x}cafe x{i}" for i in range(900)) + " é😀 deadbeefdeadbeefdeadbeefdeadbeef"
+    rows = [(1, text), (2, "token=abcdef"), (3, ""), (4, "aa password=x" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets_scan.scan(df).collect()}
+    for i, t in rows:
+        want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(t))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    long = "A1b2C3d4E5f6G7h8J9k0L1m2"
+    texts = [f"{long} token=abcdefgh {long} secret: abcdefg{long}", long + "0123456789abcdef0123456789", f"x{long}password = qwertyuiop"]
+    c = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(secrets_scan.candidates(F.col("t"))).collect()]
+    assert [[(x.start, x.end, x.token) for x in r] for r in c] == [[(0, 24, long), (40, 64, long)], [], [(0, 25, "x" + long)]]
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------------
 
 
