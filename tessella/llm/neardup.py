@@ -86,7 +86,7 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _live_keys(classes: DataFrame) -> DataFrame:
-    """(key, o1, o2, v, n) of the table keys that have more than one member.
+    """(key, o1, o2, v, n, c) of the table keys that have more than one member; c is their number.
 
     A key is a pair of sub-keys, so it is shared only if both sub-keys are: classes whose sub-keys are all their own, which is most of a corpus,
     are out before any pair is formed. o1 and o2 are other sub-keys of the class, by which the members of a key are ordered: like texts agree on
@@ -100,16 +100,30 @@ def _live_keys(classes: DataFrame) -> DataFrame:
     side = lambda first: F.collect_list(F.when((F.col("t") < SIDE) == F.lit(first), F.struct("t", "s", "o")))
     per = live.groupBy("v", "n").agg(side(True).alias("a"), side(False).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
     pairs = per.select("v", "n", F.explode("a").alias("a"), "b").select("v", "n", "a", F.explode("b").alias("b"))
-    keys = pairs.select(F.xxhash64("a.t", "a.s", "b.t", "b.s").alias("key"), F.col("a.o").alias("o1"), F.col("b.o").alias("o2"), "v", "n")
-    return keys.withColumn("_c", F.count("*").over(Window.partitionBy("key"))).where("_c > 1").drop("_c")
+    keys = staged(pairs.select(F.xxhash64("a.t", "a.s", "b.t", "b.s").alias("key"), F.col("a.o").alias("o1"), F.col("b.o").alias("o2"), "v", "n"), "near-pairs-of-subs")
+    # Counts are combined before they move, and the join on a hot key is split where it is skewed.
+    counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("_k"), "c")
+    return keys.join(counts, F.col("key") == F.col("_k")).drop("_k")
+
+
+#: Members of a key that one task orders; those of a larger key are dealt into lots.
+LOT = 100_000
 
 
 def _neighbours(keys: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: each member of a key with the one before it and with the first, if their sizes allow the similarity. At most two pairs a
-    member, however large the key's group is; ``_unjoined`` compares what these leave apart."""
-    w = Window.partitionBy("key").orderBy("o1", "o2", "v")
+    """(a, b), a < b: each member of a key with the one before it and with the first, if their sizes allow the similarity. A hot key is dealt into lots
+    of about ``LOT`` members, each ordered by itself, and the first of its lots are ordered in turn. At most four pairs a member, however large
+    the key's group is; ``_unjoined`` compares what these leave apart."""
     member = F.struct("v", "n")
-    near = keys.select("v", "n", F.array(F.lag(member).over(w), F.first(member).over(w)).alias("near"))
+    keys = keys.withColumn("lot", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / LOT)).cast("int"))
+
+    def beside(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("o1", "o2", "v")
+        return rows.withColumn("near", F.array(F.lag(member).over(w), F.first(member).over(w)))
+
+    near = beside(keys, "key", "lot")
+    leaders = near.where((F.col("c") > LOT) & (F.col("near")[1]["v"] == F.col("v"))).select("key", "o1", "o2", "v", "n")
+    near = near.select("v", "n", "near").unionByName(beside(leaders, "key").select("v", "n", "near"))
     pairs = near.select("v", "n", F.explode("near").alias("m")).where("m IS NOT NULL AND m.v <> v")
     sized = 100 * F.least(F.col("n"), F.col("m.n")) >= percent * F.greatest(F.col("n"), F.col("m.n"))
     return pairs.where(sized).select(F.least("v", "m.v").alias("a"), F.greatest("v", "m.v").alias("b")).distinct()
@@ -141,28 +155,51 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
 KEY_BLOCK = 1024
 
 
+def _deal(rows: DataFrame, by: list[str], block: int) -> DataFrame:
+    """Deal the members (v, label) of each group into blocks (lo, hi), so that every two members of different labels meet in one.
+
+    Groups with one label go. Of a large group the members of its commonest label need not meet each other: all others are dealt into parts, every
+    two of which meet, and each of these meets every part of the commonest label. So a member is copied as often as the group has parts
+    outside its commonest label, and a block holds two parts. ``part`` tells the members of a block apart; groups of one block have one part.
+    """
+    per = rows.groupBy(*by, "label").agg(F.count("*").alias("n"))
+    group = [F.col(c).alias(f"_{c}") for c in by]
+    per = per.groupBy(*by).agg(F.sum("n").alias("_all"), F.max(F.struct("n", "label")).alias("_most"), F.count("*").alias("_labels")).where("_labels > 1")
+    per = per.select(*group, F.col("_most.label").alias("_major"), (F.col("_all") > block).alias("_large"), "_all", F.col("_most.n").alias("_m"))
+    per = per.withColumn("_p", F.when(F.col("_large"), F.ceil((F.col("_all") - F.col("_m")) / block)).otherwise(1).cast("int"))
+    per = per.withColumn("_q", F.when(F.col("_large"), F.ceil(F.col("_m") / block)).otherwise(0).cast("int"))
+    match = [F.col(c) == F.col(f"_{c}") for c in by]
+    on = match[0] if len(match) == 1 else match[0] & match[1]
+    rows = rows.join(per, on)
+    major = F.col("_large") & (F.col("label") == F.col("_major"))
+    h = F.xxhash64("v")
+    rows = rows.withColumn("part", F.when(major, F.col("_p") + F.pmod(h, F.col("_q"))).otherwise(F.pmod(h, F.col("_p"))).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(major, F.col("_p")).otherwise(F.col("_p") + F.col("_q")) - 1)))
+    rows = rows.withColumns({"lo": F.least("part", "_o"), "hi": F.greatest("part", "_o")})
+    return rows.drop(*[f"_{c}" for c in by], "_major", "_large", "_all", "_m", "_p", "_q", "_o")
+
+
 def _unjoined(keys: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): plausible pairs among the members of a key that no cluster holds together yet, as many as join them.
 
     With these every two members of a key whose sizes and min-hashes allow the similarity end in one cluster. Keys with the same members count
     once, and those whose members are all of one cluster not at all. The members of a large key are dealt into overlapping bands of sizes, two of which
-    hold any pair that the sizes allow, and the members of a large band into parts, every two of which meet in a block of their own.
+    hold any pair that the sizes allow, and the members of a band into blocks (``_deal``).
     """
-    rows = keys.select("key", "v", "n").distinct().join(clusters, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    rows = keys.select("key", "v", "n", (F.col("c") > KEY_BLOCK).alias("_wide")).distinct().join(clusters, "v", "left").withColumn("label", F.coalesce("label", "v"))
     # A little wider than the ratio of sizes, so that rounding can't part two sizes by two bands.
     width = max(math.log(100 / percent), 1e-3) * (1 + 1e-6)
     band = F.floor(F.ln("n") / width).cast("int")
-    count = lambda by: rows.groupBy(*by).agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m")
-    large = count(["key"]).select(F.col("key").alias("_k"), (F.col("c") > KEY_BLOCK).alias("_large"))
-    rows = rows.join(large, F.col("key") == F.col("_k"))
-    rows = staged(rows.select("key", F.explode(F.when(F.col("_large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("band"), "v", "n", "label"), "near-open")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m").select(F.col("key").alias("_k"))
+    rows = rows.join(mixed, F.col("key") == F.col("_k"), "left_semi")
+    rows = staged(rows.select("key", F.explode(F.when(F.col("_wide"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("band"), "v", "n", "label"), "near-open")
     # The least key of each set of members, by their number and two sums of hashes.
     sums = [F.sum(F.xxhash64(F.lit(i), "v").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
     groups = rows.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_m"), *sums).where("_l <> _m")
-    groups = groups.groupBy("c", "s1", "s2").agg(F.min(F.struct("key", "band")).alias("g")).select("g.*", F.ceil(F.col("c") / KEY_BLOCK).cast("int").alias("_c"))
-    rows = rows.join(groups, ["key", "band"]).join(classes.select("v", "sig"), "v")
-    rows = rows.withColumn("p", F.pmod(F.xxhash64("v"), F.col("_c")).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    rows = rows.select("key", "band", F.least("p", "_q").alias("lo"), F.greatest("p", "_q").alias("hi"), "p", "v", "n", "label", "sig")
+    groups = groups.groupBy("c", "s1", "s2").agg(F.min(F.struct("key", "band")).alias("g")).select("g.*")
+    rows = staged(rows.join(groups, ["key", "band"], "left_semi"), "near-open-groups")
+    rows = _deal(rows, ["key", "band"], KEY_BLOCK).join(classes.select("v", "sig"), "v")
+    rows = rows.select("key", "band", "lo", "hi", "part", "v", "n", "label", "sig")
     rows = rows.repartition("key", "band", "lo", "hi").sortWithinPartitions("key", "band", "lo", "hi", "v")
     least = _least_equal(percent / 100)
 
@@ -244,23 +281,13 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-#: What a block of a cluster holds at most, in sets and in bytes of their hashes.
+#: What a part of a cluster holds at most, in sets and in bytes of their hashes.
 BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
 
 
-def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that join the members of each cluster (v, label) into components of confirmed links.
-
-    A cluster's sets (v, set) meet in one block; a large cluster is dealt into parts by a hash, and every two parts meet in a block of their own, so a
-    block is bounded whatever the cluster's size and no two members are left uncompared. A block yields a link for each member at most.
-    """
-    rows = staged(clusters.join(sets, "v").select("label", "v", "set"), "near-members")
-    per = rows.groupBy("label").agg(F.count("*").alias("_n"), F.sum(F.octet_length("set").cast("long")).alias("_b")).where("_n > 1")
-    parts = F.greatest(F.ceil(F.col("_n") / BLOCK_SETS), F.ceil(F.col("_b") / BLOCK_BYTES)).cast("int")
-    rows = rows.join(per.select("label", parts.alias("_c")), "label")
-    rows = rows.withColumn("_p", F.pmod(F.xxhash64("v"), F.col("_c")).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    rows = rows.select("label", F.least("_p", "_q").alias("lo"), F.greatest("_p", "_q").alias("hi"), "v", "set")
-    rows = rows.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "v")
+def _linked_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join the members (v, set) of each block (cluster, lo, hi) into components of confirmed links: at most one a member."""
+    rows = rows.select("cluster", "lo", "hi", "v", "set").repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
@@ -270,10 +297,10 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
 
         for b in batches:
-            for label, lo, hi, v, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if (label, lo, hi) != now:
+            for cluster, lo, hi, v, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if (cluster, lo, hi) != now:
                     yield close()
-                    now, ids, sets = (label, lo, hi), [], []
+                    now, ids, sets = (cluster, lo, hi), [], []
                 ids.append(v)
                 sets.append(np.frombuffer(data, np.uint64))
         yield close()
@@ -281,6 +308,39 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _in_parts(rows: DataFrame, percent: int) -> DataFrame:
+    """Links among the members of each cluster that fall into one part; a cluster has as many parts as its sets or bytes ask for."""
+    per = rows.groupBy("cluster").agg(F.count("*").alias("_n"), F.sum(F.octet_length("set").cast("long")).alias("_b")).where("_n > 1")
+    parts = F.greatest(F.ceil(F.col("_n") / BLOCK_SETS), F.ceil(F.col("_b") / BLOCK_BYTES))
+    rows = rows.join(per.select(F.col("cluster").alias("_c"), parts.alias("_parts")), F.col("cluster") == F.col("_c"))
+    return _linked_blocks(rows.withColumn("lo", F.pmod(F.xxhash64("v"), F.col("_parts")).cast("int")).withColumn("hi", F.col("lo")), percent)
+
+
+def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join the members of each cluster (v, label) into components of confirmed links.
+
+    A small cluster's sets (v, set) meet in one block. A large cluster is dealt into parts, each linked by itself, then the first members of what was
+    found so, in parts again; near copies are mostly one component by then. What is left apart is compared in full: all members outside the
+    largest component with all others (``_deal``). So no two members of different components are left uncompared, a block is bounded whatever the
+    cluster's size, and the work is that of the members outside the largest component times all members.
+    """
+    rows = staged(clusters.withColumnRenamed("label", "cluster").join(sets, "v").select("cluster", "v", "set"), "near-members")
+    links = staged(_in_parts(rows, percent), "near-links")
+    per = rows.groupBy("cluster").agg(F.count("*").alias("_n"), F.sum(F.octet_length("set").cast("long")).alias("_b"))
+    large = staged(per.where((F.col("_n") > BLOCK_SETS) | (F.col("_b") > BLOCK_BYTES)).select("cluster"), "near-large")
+    if large.isEmpty():
+        return links
+    rows = rows.join(large, "cluster", "left_semi")
+    label = lambda: components(links).select("v", "label")
+    leaders = rows.join(label(), "v", "left").where("label IS NULL OR label = v").select("cluster", "v", "set")
+    links = staged(links.unionByName(_in_parts(leaders, percent)), "near-links")
+    rows = staged(rows.join(label(), "v", "left").withColumn("label", F.coalesce("label", "v")), "near-members")
+    wide = rows.agg(F.max(F.octet_length("set"))).first()[0] or 8
+    # A part stays within both bounds whatever its sets are like.
+    dealt = _deal(rows, ["cluster"], max(1, min(BLOCK_SETS, BLOCK_BYTES // wide)))
+    return links.unionByName(_linked_blocks(dealt, percent))
+
+
 def _small(table: DataFrame, most: int = 200_000) -> bool:
     return table.limit(most + 1).count() <= most
 
@@ -321,8 +381,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Equal sets are one class, found by a 128-bit hash, so copies in any number cost one row. Tensored banding gives each class its table keys: two
     collections of ``SIDE`` sub-keys, every pair of sub-keys a key. The members of a key are ordered by further min-hashes, and each is held against the
     one before it and the first; pairs whose min-hashes agree too seldom go, and what the others join are clusters. Members of a key in different clusters are then
-    compared by their min-hashes, all with all in bounded blocks (``_unjoined``), and plausible pairs join their clusters. In each cluster all full sets of whole
-    texts are compared, in bounded blocks, and only confirmed links count; so a large group of near copies forms no table of pairs. Two texts at the
+    compared by their min-hashes, in bounded blocks (``_unjoined``), and plausible pairs join their clusters. In each cluster the full sets of whole
+    texts are compared, in bounded blocks (``_confirmed``), and only confirmed links count; so a large group of near copies forms no table of pairs. Two texts at the
     limit of 0.85 share no key with probability ``miss_probability(0.85)``, about 1.5e-5, and less above.
 
     Null and empty texts have no shingles and link with nothing, each its own component. Rows that repeat a doc_id are one vertex if

@@ -741,6 +741,81 @@ def test_near_copies_among_texts_of_one_passage(spark, monkeypatch):
         assert got == {**{i: i for i in range(400)}, 300: 100}
 
 
+def planted_pairs(n_bases: int, seed: int):
+    """Texts of 60 to 200 words with copies that differ in as many words as leaves a similarity of 0.8 to 0.95."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    for b in range(n_bases):
+        w = [f"{b}x{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))]
+        rows.append(" ".join(w))
+        for _ in range(rng.randrange(1, 4)):
+            c = w.copy()
+            for k in rng.sample(range(len(w)), max(1, int(len(w) * rng.choice((0.01, 0.02, 0.025, 0.03))))):
+                c[k] = f"n{rng.randrange(10**9)}"
+            rows.append(" ".join(c))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def exact_links(rows, k, percent):
+    """All linked pairs, by an inverted index."""
+    index, sets, links = defaultdict(list), {}, set()
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+        for g in sets[i]:
+            index[g].append(i)
+    for i, s in sets.items():
+        for j, c in Counter(j for g in s for j in index[g] if j < i).items():
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                links.add((j, i))
+    return links
+
+
+def test_links_found_of_planted_pairs(spark):
+    rows = planted_pairs(700, 4)
+    links = exact_links(rows, 3, 85)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert len(links) > 500 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    apart = {i: i for i, _ in rows}
+    for a, b in sorted(links):
+        apart = {i: apart[a] if x == apart[b] else x for i, x in apart.items()} if apart[a] != apart[b] else apart
+    assert len(set(got.values())) >= len(set(apart.values()))  # nothing is joined that no link joins
+
+
+def test_hot_keys_and_large_clusters(spark, monkeypatch):
+    """Lots, parts and blocks of a few members give what single ones give."""
+    import random
+
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        w = base.copy()
+        for k in rng.sample(range(150), rng.choice((0, 1, 2, 3, 6))):
+            w[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "LOT", 20)
+    monkeypatch.setattr(neardup, "KEY_BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 16)
+    assert Counter(map(tuple, neardup.near_duplicates(df, 3, 85).collect())) == brute_components(rows, 3, 85)
+
+
+def test_deal_brings_all_of_different_labels_together(spark):
+    labels = [0] * 40 + [1] * 9 + list(range(2, 20))
+    rows = spark.createDataFrame([(7, v, label) for v, label in enumerate(labels)] + [(8, 99, 1), (8, 98, 1)], "g int, v long, label long")
+    dealt = neardup._deal(rows, ["g"], 8).collect()
+    blocks = defaultdict(set)
+    for r in dealt:
+        blocks[(r.lo, r.hi)].add(r.v)
+    assert {r.g for r in dealt} == {7}  # one label: nothing to compare
+    met = {(a, b) for vs in blocks.values() for a in vs for b in vs}
+    assert all((a, b) in met for a in range(len(labels)) for b in range(len(labels)) if labels[a] != labels[b])
+    assert max(map(len, blocks.values())) < 40 and sum(map(len, blocks.values())) < len(labels) * 9
+
+
 def test_joins_are_those_of_all_pairs():
     import numpy as np
 
