@@ -9,9 +9,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ MAGIC = b"TWM1"
 #: Bits of a bit-plane that are compressed together; ranks are sampled at their starts.
 CHUNK = 1 << 19
 #: Stretches of text that a Python worker keeps with their ids; beyond that it begins anew, so its memory is bounded.
-CACHE = 1_200_000
+CACHE = 900_000
 
 #: A shard's file is closed, and the next of the shard begun, once it has so many tokens: a task's memory is bounded whatever its rows.
 MOST_TOKENS = 1 << 24
@@ -51,20 +53,64 @@ def _settled() -> str:
         if good and start is None:
             start = i
         elif not good and start is not None:
-            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            out.append(rf"\x{{{start:x}}}-\x{{{i - 1:x}}}")
             start = None
     return "".join(out)
 
 
+class Pool:
+    """Token ids of many strings, one after the other, and where each string's begin: a string is known by its number."""
+
+    def __init__(self) -> None:
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.size, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.add(np.empty(0, np.uint32), np.zeros(1, np.int64))  # number 0 has no ids
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Append strings by their ids in a row and the number of ids of each; the number of the first."""
+        first, n, used = self.n, self.n + len(sizes), self.used + len(ids)
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(used, np.uint32)])
+        if n > len(self.start):
+            more = np.empty(n, np.int64)
+            self.start, self.size = np.concatenate([self.start[: self.n], more]), np.concatenate([self.size[: self.n], more])
+        self.ids[self.used : used] = ids
+        self.size[self.n : n] = sizes
+        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = used, n
+        return first
+
+    def __getitem__(self, number: int) -> np.ndarray:
+        return self.ids[self.start[number] : self.start[number] + self.size[number]]
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings one after the other, and the bounds of each among them."""
+        sizes = self.size[numbers]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.start[numbers] - bounds[:-1], sizes)
+        at += np.arange(len(at))
+        return self.ids[at], bounds
+
+
+#: Stretches longer than this are not kept; a text that holds one is encoded as a whole.
+LONGEST = 300
+#: Stretches whose ids are put together at once, and bytes of text that are cut at once.
+AT_ONCE, BATCH_TEXT = 1 << 18, 5 << 20
+#: Bits that remember which stretches a worker has met before.
+MET = 1 << 24
+BLANKS = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 class Encoder:
-    """Text to token ids (little-endian 32-bit bytes): those of the tokenizers library with add_special_tokens=False, and nothing else.
+    """Text to token ids: those of the tokenizers library with add_special_tokens=False, and nothing else.
 
     A byte-level tokenizer cuts a text into pre-tokens before it merges anything, and merges within each by itself. Where one space stands between
-    two characters that are no white space, it cuts before the space; so a text falls into stretches of a space and what follows, and the ids
-    of a stretch never depend on the others. Stretches seen before come from a cache. New ones are encoded together: a pre-token that
-    begins with a space has its only space in its first token, so the ids of many can be told apart again. The library itself encodes as a whole
-    each text in which a space has white space beside it, that holds the literal of an added token (such as <|endoftext|>), or a character that
-    not all Unicode tables class alike (``_settled``).
+    two characters that are no white space, it cuts before the space, and where one line end does, on both sides of it; so a text falls into stretches
+    of a space or line end and what follows, and the ids of a stretch never depend on the others. A batch of texts is cut there and its different
+    stretches are numbered; those met before are in the pool, the new ones are encoded together: the space or line end of a stretch has its own place in
+    the ids, so those of many can be told apart again. Then the ids of all texts are gathered from the pool. The library itself encodes as a whole each text in
+    which other white space stands beside a cut, that holds the literal of an added token (such as <|endoftext|>), a stretch of more than ``LONGEST``
+    characters, or a character that not all Unicode tables class alike (``_settled``).
     """
 
     def __init__(self, path: str) -> None:
@@ -75,79 +121,153 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # The same model for strings of a space and letters, over and over, which can be cut at the spaces alone.
-        self.spaces = Tokenizer(self.tokenizer.model)
-        split = pre_tokenizers.Split(" ", "merged_with_next")
-        self.spaces.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.unsure = re.compile(f"[^{_settled()}]").search
         vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.after_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
-
-    def _together(self, words: list[str]) -> None:
-        """Encode pre-tokens of a space and a word."""
-        for i in range(0, len(words), 100_000):
-            some = words[i : i + 100_000]
-            texts = ["".join([" " + w for w in some[k : k + 1000]]) for k in range(0, len(some), 1000)]
-            found: list[bytes] = []
-            for e in self.spaces.encode_batch_fast(texts, add_special_tokens=False):
-                ids = np.asarray(e.ids, "<u4")
-                data, at = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
-                found += [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
-            self.after_space.update(zip(some, found, strict=True))
-
-    def _one(self, pre_token: str) -> bytes:
+        self.largest = max(vocabulary.values())
+        # The same model for strings of a space (or line end) and letters, over and over, which can be cut there alone; and the ids that begin a stretch.
+        self.joined, self.begins = {}, {}
+        for mark, how, starts in ((" ", "merged_with_next", "\u0120"), ("\n", "isolated", "\u010a")):
+            self.joined[mark] = Tokenizer(self.tokenizer.model)
+            split = pre_tokenizers.Split(mark, how)
+            self.joined[mark].pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.begins[mark] = np.zeros(self.largest + 1, bool)
+            self.begins[mark][[i for t, i in vocabulary.items() if t.startswith(starts)]] = True
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.unsure = f"[^{_settled()}]"
+        self.unsure_leading = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", self.unsure)).search
+        self.alone: dict[str, np.ndarray] = {}
+        self.met = np.zeros(MET, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pool = Pool()
+        #: Numbers of stretches met twice or more, and of what texts begin with; 0 marks what the shortcut can't vouch for.
+        self.known: dict[str, int] = {}
+        self.leading: dict[str, int] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _one(self, pre_token: str) -> np.ndarray:
         if pre_token not in self.alone:
-            ids = self.tokenizer.encode(pre_token, add_special_tokens=False).ids
-            self.alone[pre_token] = np.asarray(ids, "<u4").tobytes()
+            self.alone[pre_token] = self.whole(pre_token)
         return self.alone[pre_token]
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Ids of new stretches, given without their leading space."""
-        parts: list[tuple[str, list[str]]] = []
-        simple: set[str] = set()
-        for w in stretches:
-            if w.isalpha():
-                simple.add(w)
-            elif w[-1] in ",." and w[:-1].isalpha():
-                parts.append((w, [" " + w[:-1], w[-1]]))
-                simple.add(w[:-1])
-            else:
-                parts.append((w, self.cut(" " + w)))
-                simple.update(p[1:] for p in parts[-1][1] if p[0] == " " and p[1:].isalpha())
-        self._together([w for w in simple if w not in self.after_space])
-        for w, ps in parts:
-            self.after_space[w] = b"".join([self.after_space[p[1:]] if p[0] == " " and p[1:].isalpha() else self._one(p) for p in ps])
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self.after_space) > CACHE:
-            self.after_space.clear()
+    def _together(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters, each with ``mark`` before it, in a row, and their sizes."""
+        texts = [mark + mark.join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        ids = [np.asarray(e.ids, np.uint32) for e in self.joined[mark].encode_batch_fast(texts, add_special_tokens=False)]
+        row = np.concatenate([*ids, np.empty(0, np.uint32)])
+        return row, np.diff(np.flatnonzero(self.begins[mark][row]), append=len(row)).astype(np.int64)
+
+    def _number(self, stretches: pa.Array) -> np.ndarray:
+        """Put new stretches into the pool; their numbers. A stretch after a line end begins with a zero character."""
+        out = np.zeros(len(stretches), np.int64)
+        if not len(stretches):
+            return out
+        mask = lambda a: a.to_numpy(zero_copy_only=False)
+        line = mask(pc.starts_with(stretches, "\0"))
+        body = pc.if_else(pa.array(line), pc.utf8_slice_codeunits(stretches, 1), stretches)
+        size = mask(pc.utf8_length(body))
+        bad = (size == 0) | (size > LONGEST) | mask(pc.match_substring_regex(body, self.unsure)) | mask(pc.match_substring_regex(body, f"^[{BLANKS}]|[{BLANKS}]$"))
+        letters = mask(pc.utf8_is_alpha(body)) & ~bad
+        stopped = mask(pc.match_substring_regex(body, r"^\pL+[,.]$")) & ~bad
+        for mark, these in ((" ", ~line), ("\n", line)):
+            at = np.flatnonzero(letters & these)
+            out[at] = self.pool.add(*self._together(body.take(pa.array(at)).to_pylist(), mark)) + np.arange(len(at))
+            at = np.flatnonzero(stopped & these)
+            words = body.take(pa.array(at)).to_pylist()
+            ids, sizes = self._together([w[:-1] for w in words], mark)
+            ends = np.cumsum(sizes + 1) - 1
+            row = np.empty(len(ids) + len(at), np.uint32)
+            last = np.zeros(len(row), bool)
+            last[ends] = True
+            comma, stop = int(self._one(",")[0]), int(self._one(".")[0])
+            row[last], row[~last] = np.array([comma if w[-1] == "," else stop for w in words], np.uint32), ids
+            out[at] = self.pool.add(row, sizes + 1) + np.arange(len(at))
+        at = np.flatnonzero(~(bad | letters | stopped))
+        ids = []
+        for w, after_line in zip(body.take(pa.array(at)).to_pylist(), line[at].tolist(), strict=True):
+            ids.append([self._one("\n"), *map(self._one, self.cut(w))] if after_line else [self._one(x) for x in self.cut(" " + w)])
+        sizes = np.array([sum(map(len, x)) for x in ids], np.int64)
+        out[at] = self.pool.add(np.concatenate([*(y for x in ids for y in x), np.empty(0, np.uint32)]), sizes) + np.arange(len(at))
+        return out
+
+    def _lead(self, first: str, last: bool) -> int:
+        """The number of what stands before the first cut of a text, 0 if the shortcut can't vouch for it."""
+        if len(first) > LONGEST or (not last and (not first or first[-1].isspace())):
+            return 0
+        if first not in self.leading:
+            known = 0 if self.unsure_leading(first) else -1
+            if known:
+                ids = [self._one(p) for p in self.cut(first)]
+                known = self.pool.add(np.concatenate([*ids, np.empty(0, np.uint32)]), np.array([sum(map(len, ids))]))
+            self.leading[first] = known
+        return self.leading[first]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; nulls are empty."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        if len(self.known) + len(self.leading) > CACHE:
+            self._forget()
         if len(self.alone) > CACHE // 4:
             self.alone.clear()
-        split = []
-        known, new = self.after_space, set()
-        for t in texts:
-            first, space, rest = t.partition(" ")
-            split.append((first, rest.split(" ") if space else []))
-            new.update(split[-1][1])
-        new = {w for w in new if w not in known}
-        # Beside an empty stretch, or one with white space at an end, there is other white space than one space.
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or self.unsure(w)}
-        self._learn(new - odd)
-        out = []
-        for t, (first, words) in zip(texts, split, strict=True):
-            whole = (words and (not first or first[-1].isspace())) or self.unsure(first) or (odd and not odd.isdisjoint(words))
-            if whole or any(x in t for x in self.literals):
-                out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join([*map(self._one, self.cut(first)), *map(known.__getitem__, words)]))
+        odd = np.zeros(len(texts), bool)
+        for literal in (*self.literals, "\0"):
+            odd |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring_regex(texts, r"(\S)\n(\S)", "\\1 \0\\2"), " ")
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy()
+        after = np.ones(len(code), bool)
+        after[bounds[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[code[after]] = True
+        used = np.flatnonzero(used)
+        some = words.take(pa.array(used)).to_pylist()
+        found = np.fromiter(map(self.known.get, some, repeat(-1)), np.int64, len(some))
+        lead = [self._lead(words[int(code[a])].as_py(), b - a == 1) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        # What is met for the second time is kept; what is met for the first time leaves the pool with the batch.
+        new = np.flatnonzero(found < 0)
+        place = np.fromiter((hash(some[i]) & (MET - 1) for i in new.tolist()), np.int64, len(new))
+        again = new[self.met[place]]
+        once = new[~self.met[place]]
+        self.met[place] = True
+        found[again] = self._number(words.take(pa.array(used[again])))
+        self.known.update(zip([some[i] for i in again.tolist()], found[again].tolist(), strict=True))
+        kept = self.pool.n, self.pool.used
+        found[once] = self._number(words.take(pa.array(used[once])))
+        number = np.zeros(len(words), np.int64)
+        number[used] = found
+        number = number[code]
+        number[bounds[:-1]] = lead
+        odd |= np.logical_or.reduceat(number == 0, bounds[:-1])
+        out: list[np.ndarray] = []
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + AT_ONCE, "right")) - 1)
+            ids, at = self.pool.gather(number[bounds[low] : bounds[high]])
+            ends = at[bounds[low : high + 1] - bounds[low]].tolist()
+            out += [self.whole(texts[i].as_py()) if odd[i] else ids[a:b] for i, a, b in zip(range(low, high), ends, ends[1:], strict=False)]
+            low = high
+        self.pool.n, self.pool.used = kept
         return out
 
 
+def larger(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_TEXT) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined until a column has about ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if held and sum(h.column(column).nbytes for h in held) + b.column(column).nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        if b.num_rows:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 # --- the wavelet matrix ------------------------------------------------------------------------------------------------
 
 
@@ -321,10 +441,12 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bi
     narrow = docs.select(F.col("doc_id").cast("long").alias("key"), tie.alias("tie"), size.alias("weight"))
     rows = in_range_shards(docs.select("doc_id", "text", tie.alias("_tie")), narrow, "doc_id", "_tie", shard_bytes, "_tie", "text")
     rows = rows.select("doc_id", "text", "_shard")
-    stop, kind = np.asarray([end], "<u4").tobytes(), np.uint16 if bits <= 16 else np.uint32
+    stop, kind = np.array([end], np.uint32), np.uint16 if bits <= 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, done = encoder_of(tokenizer), []
+        if max(encoder.largest, end) >> bits:
+            raise ValueError(f"the tokenizer has ids of more than {bits} bits")
         now, seq, held, ids, sizes, parts = None, 0, 0, [], [], []
 
         def close() -> None:
@@ -337,19 +459,15 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bi
             done.append(file.row(records=len(ids), units=held, first_id=ids[0], last_id=ids[-1]))
             seq, held, ids, sizes, parts = seq + 1, 0, [], [], []
 
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for doc_id, data, shard_id in zip(b.column(0).to_pylist(), encoder.batch(texts), b.column(2).to_pylist(), strict=True):
+        for b in larger(batches, 1):
+            for doc_id, found, shard_id in zip(b.column(0).to_pylist(), encoder.batch(b.column(1)), b.column(2).to_pylist(), strict=True):
                 if shard_id != now:
                     close()
                     now, seq = shard_id, 0
-                tokens = np.frombuffer(data + stop, "<u4")
-                if int(tokens.max()) >> bits:
-                    raise ValueError(f"an id needs more than {bits} bits")
                 ids.append(doc_id)
-                sizes.append(len(tokens))
-                parts.append(tokens.astype(kind))
-                held += len(tokens)
+                sizes.append(len(found) + 1)
+                parts.append(np.concatenate([found, stop]).astype(kind))
+                held += len(found) + 1
                 if held >= MOST_TOKENS:
                     close()
         close()

@@ -572,19 +572,19 @@ def test_tokens_round_trip(spark, table):
 
 
 def test_added_tokens_as_the_library_has_them():
-    import numpy as np
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
     texts = ["end <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b c, d", "plain words here", "<|endoftext| > a", "", "end <|endoftext|> \n x"]
-    got = tokens.encoder_of(tokens.vocabulary_path()).batch(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    got = tokens.encoder_of(tokens.vocabulary_path()).batch(pa.array(texts))
+    assert [g.tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_encoder_is_the_library_on_any_text():
     import random
 
-    import numpy as np
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     t, rng = Tokenizer.from_file(tokens.vocabulary_path()), random.Random(8)
@@ -593,8 +593,17 @@ def test_encoder_is_the_library_on_any_text():
     texts = ["".join(rng.choice(pieces) if rng.random() < 0.9 else rng.choice(odd) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
     texts += ["".join(chr(rng.choice((rng.randrange(32, 0x250), rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x110000)))) for _ in range(9)) for _ in range(4000)]
     texts += [f"a{x} b{x}c {x} {x}d" for x in odd]
-    got = tokens.encoder_of(tokens.vocabulary_path()).batch(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    texts += ["", " ", "x" * 1000, "a " + "y" * 1000 + " b", "é" * 400 + " z", "one", " two", "three ", "a  b"] * 2
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    got = tokens.encoder_of(tokens.vocabulary_path()).batch(pa.array(texts))
+    assert [g.tolist() for g in got] == want
+    small = tokens.Encoder(tokens.vocabulary_path())
+    tokens.CACHE, kept = 50, tokens.CACHE  # begins anew all the time
+    try:
+        got = [g for i in range(0, len(texts), 7) for g in small.batch(pa.array(texts[i : i + 7]))]
+    finally:
+        tokens.CACHE = kept
+    assert [g.tolist() for g in got] == want
 
 
 def test_shards_of_any_ids(spark, monkeypatch):
