@@ -67,17 +67,21 @@ def release(spark: SparkSession) -> None:
     _runs.discard(run)
 
 
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+#: Rows of a staged file at least, where it is known how many there can be.
+FILE_ROWS = 100_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    The result depends on files only: a lost executor costs a reread, not a recomputation of the lineage.
+    The result depends on files only: a lost executor costs a reread, not a recomputation of the lineage. ``rows``: how many there can be at most, where that is
+    known; a table of few rows is then written into few files, whatever the number of shuffle partitions.
     """
     spark = session_of(df)
     path = scratch(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -88,15 +88,16 @@ def mix_plan(rows: DataFrame, weights: Sequence[float], cap: float, bucket_rows:
     it ends the different keys are sorted. Sums of bins and buckets are prefix-summed within the source. Equal rows, of any number, have one key.
     """
     per = staged(rows.groupBy("source").agg(F.sum("_size").alias("size")), "mix-sources")
+    sources = per.count()
     plan = targets(per, weights, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0)
     plan = plan.withColumn("epochs", epochs.cast("long"))
-    plan = staged(plan.withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "mix-targets")
+    plan = staged(plan.withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "mix-targets", sources)
     rest = plan.select(F.col("source").alias("_s"), "_rest")
     place = F.log2(F.greatest(F.col("_key"), F.lit(1e-300))) * OCTAVE
     binned = rows.withColumn("_b", F.floor(place))
     ends, whole = _ends(_sums(binned, "_b"), "_b", rest)
-    ends = _few(staged(ends, "mix-ends"))
+    ends = _few(staged(ends, "mix-ends", sources))
     at_end = binned.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
     buckets = F.ceil(F.col("_n") / bucket_rows)
     at_end = at_end.select("source", "_size", "_key", F.least(buckets - 1, F.floor((place - F.col("_b")) * buckets)).cast("long").alias("_d"))
@@ -108,7 +109,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[float], cap: float, bucket_rows:
     taken = last.where((over <= 0) | ((under > 0) & (over < under))).groupBy("source").agg(F.max("_key").alias("cut"))
     cuts = taken.unionByName(whole).unionByName(more).groupBy("source").agg(F.max("cut").alias("cut")).withColumnRenamed("source", "_s")
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left")
-    return staged(plan.select("source", "source_size", "target", "epochs", "cut"), "mix-plan")
+    return staged(plan.select("source", "source_size", "target", "epochs", "cut"), "mix-plan", sources)
 
 
 def _copies() -> Column:

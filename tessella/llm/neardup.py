@@ -111,20 +111,17 @@ LOT = 100_000
 
 
 def _neighbours(keys: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: each member of a key with the one before it and with the first, if their sizes allow the similarity. A hot key is dealt into lots
-    of about ``LOT`` members, each ordered by itself, and the first of its lots are ordered in turn. At most four pairs a member, however large
+    """(a, b), a < b: each member of a key with the one before it, if their sizes allow the similarity. A hot key is dealt into lots
+    of about ``LOT`` members, each ordered by itself, and the first of its lots are ordered in turn. At most two pairs a member, however large
     the key's group is; ``_unjoined`` compares what these leave apart."""
-    member = F.struct("v", "n")
     keys = keys.withColumn("lot", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / LOT)).cast("int"))
 
     def beside(rows: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("o1", "o2", "v")
-        return rows.withColumn("near", F.array(F.lag(member).over(w), F.first(member).over(w)))
+        return rows.withColumn("m", F.lag(F.struct("v", "n")).over(Window.partitionBy(*by).orderBy("o1", "o2", "v")))
 
     near = beside(keys, "key", "lot")
-    leaders = near.where((F.col("c") > LOT) & (F.col("near")[1]["v"] == F.col("v"))).select("key", "o1", "o2", "v", "n")
-    near = near.select("v", "n", "near").unionByName(beside(leaders, "key").select("v", "n", "near"))
-    pairs = near.select("v", "n", F.explode("near").alias("m")).where("m IS NOT NULL AND m.v <> v")
+    leaders = near.where((F.col("c") > LOT) & F.col("m").isNull()).select("key", "o1", "o2", "v", "n")
+    pairs = near.select("v", "n", "m").unionByName(beside(leaders, "key").select("v", "n", "m")).where("m IS NOT NULL")
     sized = 100 * F.least(F.col("n"), F.col("m.n")) >= percent * F.greatest(F.col("n"), F.col("m.n"))
     return pairs.where(sized).select(F.least("v", "m.v").alias("a"), F.greatest("v", "m.v").alias("b")).distinct()
 
@@ -182,9 +179,11 @@ def _deal(rows: DataFrame, by: list[str], block: int) -> DataFrame:
 def _unjoined(keys: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): plausible pairs among the members of a key that no cluster holds together yet, as many as join them.
 
-    With these every two members of a key whose sizes and min-hashes allow the similarity end in one cluster. Keys with the same members count
-    once, and those whose members are all of one cluster not at all. The members of a large key are dealt into overlapping bands of sizes, two of which
-    hold any pair that the sizes allow, and the members of a band into blocks (``_deal``).
+    With these every two members of a key whose sizes and min-hashes allow the similarity end in one cluster. Keys whose members are all of one cluster
+    need nothing. In each other key one cluster has the most members; the others are apart. Those apart meet that whole cluster, once however many
+    keys they share with it, and they meet each other, key by key; keys with the same members apart count once. The members of a large key are dealt into
+    overlapping bands of sizes, two of which hold any pair that the sizes allow, and all groups into bounded blocks. So a large group of near copies, which
+    share all their keys, is listed once, not once a key, and the work grows with the number of those apart.
     """
     rows = keys.select("key", "v", "n", (F.col("c") > KEY_BLOCK).alias("_wide")).distinct().join(clusters, "v", "left").withColumn("label", F.coalesce("label", "v"))
     # A little wider than the ratio of sizes, so that rounding can't part two sizes by two bands.
@@ -193,12 +192,38 @@ def _unjoined(keys: DataFrame, clusters: DataFrame, classes: DataFrame, percent:
     mixed = rows.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m").select(F.col("key").alias("_k"))
     rows = rows.join(mixed, F.col("key") == F.col("_k"), "left_semi")
     rows = staged(rows.select("key", F.explode(F.when(F.col("_wide"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("band"), "v", "n", "label"), "near-open")
-    # The least key of each set of members, by their number and two sums of hashes.
+    per = rows.groupBy("key", "band", "label").agg(F.count("*").alias("n"))
+    most = per.groupBy("key", "band").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("l")).where("l > 1")
+    most = most.select(F.col("key").alias("_k"), F.col("band").alias("_b"), F.col("m.label").alias("major"))
+    apart = rows.join(most, (F.col("key") == F.col("_k")) & (F.col("band") == F.col("_b")) & (F.col("label") != F.col("major")))
+    apart = staged(apart.select("key", "band", "v", "n", "label", "major"), "near-apart")
+    sigs = classes.select("v", "n", "sig")
+
+    # Those apart with the clusters that have the most members of a key.
+    outer = apart.select("major", "v", "label").distinct()
+    wanted = outer.select("major").distinct()
+    inner = clusters.join(wanted, F.col("label") == F.col("major"), "left_semi").select(F.col("label").alias("major"), "v", "label")
+    alone = wanted.join(clusters.select("v"), F.col("major") == F.col("v"), "left_anti").select("major", F.col("major").alias("v"), F.col("major").alias("label"))
+    both = inner.unionByName(alone).withColumn("part", F.lit(0)).unionByName(outer.withColumn("part", F.lit(1)))
+    parts = lambda side: F.ceil(F.count(F.when(F.col("part") == side, 1)) / KEY_BLOCK).cast("int")
+    per = both.groupBy("major").agg(parts(0).alias("_q"), parts(1).alias("_p")).withColumnRenamed("major", "_major")
+    both = both.join(per, F.col("major") == F.col("_major"))
+    own, other = F.when(F.col("part") == 0, F.col("_q")).otherwise(F.col("_p")), F.when(F.col("part") == 0, F.col("_p")).otherwise(F.col("_q"))
+    both = both.withColumns({"_own": F.pmod(F.xxhash64("v"), own).cast("int"), "_o": F.explode(F.sequence(F.lit(0), other - 1))})
+    first = F.col("part") == 0
+    both = both.select(F.col("major").alias("key"), F.lit(0).alias("band"), F.when(first, F.col("_own")).otherwise(F.col("_o")).alias("lo"), F.when(first, F.col("_o")).otherwise(F.col("_own")).alias("hi"), "part", "v", "label")
+    found = _plausible_in_blocks(both.join(sigs, "v"), percent)
+
+    # Those apart with each other; the least key of each set of members, by their number and two sums of hashes.
     sums = [F.sum(F.xxhash64(F.lit(i), "v").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
-    groups = rows.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_m"), *sums).where("_l <> _m")
+    groups = apart.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_m"), *sums).where("_l <> _m")
     groups = groups.groupBy("c", "s1", "s2").agg(F.min(F.struct("key", "band")).alias("g")).select("g.*")
-    rows = staged(rows.join(groups, ["key", "band"], "left_semi"), "near-open-groups")
-    rows = _deal(rows, ["key", "band"], KEY_BLOCK).join(classes.select("v", "sig"), "v")
+    among = apart.join(groups, ["key", "band"], "left_semi").select("key", "band", "v", "label")
+    return found.unionByName(_plausible_in_blocks(_deal(among, ["key", "band"], KEY_BLOCK).join(sigs, "v"), percent)).distinct()
+
+
+def _plausible_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``joins`` for each block (key, band, lo, hi) of rows with part, v, n, label and sig."""
     rows = rows.select("key", "band", "lo", "hi", "part", "v", "n", "label", "sig")
     rows = rows.repartition("key", "band", "lo", "hi").sortWithinPartitions("key", "band", "lo", "hi", "v")
     least = _least_equal(percent / 100)
@@ -218,7 +243,7 @@ def _unjoined(keys: DataFrame, clusters: DataFrame, classes: DataFrame, percent:
                 members.append(member)
         yield close()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def joins(members: list[list], percent: int, least: int) -> list[tuple[int, int]]:
@@ -327,11 +352,11 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = staged(clusters.withColumnRenamed("label", "cluster").join(sets, "v").select("cluster", "v", "set"), "near-members")
     links = staged(_in_parts(rows, percent), "near-links")
     per = rows.groupBy("cluster").agg(F.count("*").alias("_n"), F.sum(F.octet_length("set").cast("long")).alias("_b"))
-    large = staged(per.where((F.col("_n") > BLOCK_SETS) | (F.col("_b") > BLOCK_BYTES)).select("cluster"), "near-large")
+    large = per.where((F.col("_n") > BLOCK_SETS) | (F.col("_b") > BLOCK_BYTES)).select("cluster")
     if large.isEmpty():
         return links
     rows = rows.join(large, "cluster", "left_semi")
-    label = lambda: components(links).select("v", "label")
+    label = lambda: components(links, links.count()).select("v", "label")
     leaders = rows.join(label(), "v", "left").where("label IS NULL OR label = v").select("cluster", "v", "set")
     links = staged(links.unionByName(_in_parts(leaders, percent)), "near-links")
     rows = staged(rows.join(label(), "v", "left").withColumn("label", F.coalesce("label", "v")), "near-members")
@@ -345,29 +370,31 @@ def _small(table: DataFrame, most: int = 200_000) -> bool:
     return table.limit(most + 1).count() <= most
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None, most_rounds: int = 60) -> DataFrame:
     """(v, label): the smallest vertex that each vertex of ``links`` (a, b) reaches. Vertices without links have no row.
 
     Large and small stars in turn until nothing changes: each vertex sends its larger, then its smaller neighbours to the least it knows. Every
-    round is a written table; minima are combined before they move, and joins on a vertex with many links are split where they are
-    skewed. A round more than halves the distances, so there are few.
+    round is a written table of no more rows than the one before; minima are combined before they move, and joins on a vertex with many links are split where
+    they are skewed. A round more than halves the distances, so there are few. ``rows``: how many links there are at most, where that is known.
     """
-    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).distinct(), "cc")
-    before = None
+
+    def written(edges: DataFrame, rows: int | None) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        hashes = F.sum(F.xxhash64("u", "w").cast("decimal(20,0)")).alias("h")
+        out = staged(edges.distinct().observe(seen, F.count("*").alias("n"), hashes), "cc", rows)
+        return out, (seen.get["n"], seen.get["h"])
+
+    edges, now = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")), rows)
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
+        before, both = now, edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("w")).alias("m"))
         large = both.join(least, "u").where(F.col("w") > F.col("u")).select(F.col("w").alias("u"), F.col("m").alias("w"))
-        large = staged(large.where("u <> w").distinct(), "cc")
+        large = staged(large.where("u <> w").distinct(), "cc", now[0])
         least = large.groupBy("u").agg(F.min("w").alias("m"))
-        small = large.join(least, "u")
-        small = small.where(F.col("w") > F.col("m")).select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(least.select("u", F.col("m").alias("w")))
-        seen = Observation()
-        edges = staged(small.where("u <> w").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "w").cast("decimal(20,0)")).alias("h")), "cc")
-        now = (seen.get["n"], seen.get["h"])
+        small = large.join(least, "u").where(F.col("w") > F.col("m")).select(F.col("w").alias("u"), F.col("m").alias("w"))
+        edges, now = written(small.unionByName(least.select("u", F.col("m").alias("w"))).where("u <> w"), 2 * now[0])
         if now == before:
-            return edges.select(F.col("u").alias("v"), F.col("w").alias("label")).unionByName(edges.select(F.col("w").alias("v"), F.col("w").alias("label"))).distinct()
-        before = now
+            return staged(edges.select(F.col("u").alias("v"), F.col("w").alias("label")).unionByName(edges.select(F.col("w").alias("v"), F.col("w").alias("label"))).distinct(), "cc", 2 * now[0])
     raise RuntimeError("components did not settle")
 
 
@@ -380,7 +407,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Equal sets are one class, found by a 128-bit hash, so copies in any number cost one row. Tensored banding gives each class its table keys: two
     collections of ``SIDE`` sub-keys, every pair of sub-keys a key. The members of a key are ordered by further min-hashes, and each is held against the
-    one before it and the first; pairs whose min-hashes agree too seldom go, and what the others join are clusters. Members of a key in different clusters are then
+    one before it; pairs whose min-hashes agree too seldom go, and what the others join are clusters. Members of a key in different clusters are then
     compared by their min-hashes, in bounded blocks (``_unjoined``), and plausible pairs join their clusters. In each cluster the full sets of whole
     texts are compared, in bounded blocks (``_confirmed``), and only confirmed links count; so a large group of near copies forms no table of pairs. Two texts at the
     limit of 0.85 share no key with probability ``miss_probability(0.85)``, about 1.5e-5, and less above.
@@ -399,12 +426,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = classes.withColumn("_i", F.row_number().over(first)).where("_i = 1").select(F.col("doc_id").alias("v"), "h1", "h2", "n", "sig", "subs")
     classes = staged(classes, "near-classes")
     keys = staged(_live_keys(classes), "near-keys")
-    pairs = staged(_plausible(staged(_neighbours(keys, percent), "near-pairs"), classes, percent / 100), "near-plausible")
-    clusters = staged(components(pairs), "near-clusters")
+    clusters = components(_plausible(_neighbours(keys, percent), classes, percent / 100))
     more = staged(_unjoined(keys, clusters, classes, percent), "near-more")
-    if not more.isEmpty():
+    if more.count():
         both = clusters.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more)
-        clusters = staged(components(both), "near-clusters")
+        clusters = components(both, both.count())
     links = _confirmed(clusters, _sets_of(docs, classes, clusters, k), percent)
     labels = components(links.unionByName(_same_id(sets, named)))
 
@@ -424,7 +450,7 @@ def _same_id(sets: DataFrame, named: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
     """(v, set) of the classes that stand in a cluster, made anew from one text of each; the other texts are not touched."""
-    own = staged(classes.select("v", "h1", "h2").join(clusters.select("v"), "v", "left_semi"), "near-own")
+    own = staged(classes.select("v", "h1", "h2").join(clusters.select("v"), "v", "left_semi"), "near-own", clusters.count())
     needed = own.select(F.col("v").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(F.broadcast(needed) if _small(needed) else needed, "doc_id", "left_semi")
     # Rows that repeat an id may have other texts: those with the class's own set are taken.
