@@ -278,26 +278,37 @@ def test_prefix_sums(spark):
 @pytest.mark.parametrize(
     ("answer", "gold", "kind", "why"),
     [
-        ("Section 17.8.2", "Section 17.8.2", "identifier", None),
-        ("4.6.2.1.8", "4.6.2.1", "identifier", "phrase"),
-        ("AASHTO LRFD Article 6.5.4.2", "6.5.4.2", "identifier", None),
-        ("C 1138", "C1138", "identifier", None),
-        ("1,000 ft", "1000 ft", "value", None),
-        ("2010", "2010", "value", None),
-        ("2-1/2 in", "2-1/2 in", "value", None),
-        ("either 5 or 6 ft", "5 ft", "value", "two_candidates"),
-        ("12 inches", "12 in", "value", None),
-        ("flat-beam analogy", "flat-beam analogy", "term", None),
-        ("beam analogy", "flat-beam analogy", "term", "phrase"),
-        ("polar moment of inertia", "polar moment of inertia (Jr)", "term", None),
-        ("Collapse", "low likelihood of collapse", "term", "phrase"),
-        ("stirrups", "stirrup", "term", None),
-        ("0", "0 ft", "value", None),
-        ("w/c ratio", "w/c ratio", "term", None),
+        ("Rule 12.3.4", "Rule 12.3.4", "identifier", None),
+        ("7.1.2.9", "7.1.2", "identifier", "phrase"),
+        ("Bridge Code section 7.1.2", "7.1.2", "identifier", None),
+        ("B 52", "B52", "identifier", None),
+        ("TM 5-820-1", "TM 5-820-4", "identifier", "phrase"),
+        ("2,500 kg", "2500 kg", "value", None),
+        ("2,500 kilograms\nbecause it is", "2500 kg", "value", None),
+        ("-4 °", "4 °", "value", "missing_number"),
+        ("1-3/4 inches", "1.75 in", "value", None),
+        ("3/4 in", "0.75 in", "value", None),
+        ("seven days", "7", "number", None),
+        ("1901", "1902", "value", "missing_number"),
+        ("either 3 or 4 m", "3 m", "value", "two_candidates"),
+        ("3-4 m", "3 m", "value", "two_candidates"),
+        ("3 m", "3 km", "value", "unit"),
+        ("3 m and 8 m", "3 m", "value", "conflict"),
+        ("3 m at 20 %", "3 m", "value", None),
+        ("12", "12:1", "other", None),
+        ("50 mm", "50 mm (2 in.)", "value", None),
+        ("moment arm, lever", "lever", "term", "two_candidates"),
+        ("rocks", "rock", "term", None),
+        ("loose rock", "rock", "term", None),
+        ("rock", "loose rock slope", "term", "phrase"),
+        ("the lever", "lever (arm)", "term", None),
+        ("a/b ratio", "a/b ratio", "term", None),
+        (None, "x", "term", "phrase"),
+        ("x", None, "term", "phrase"),
     ],
 )
 def test_strict(answer, gold, kind, why):
-    assert strict.why_wrong(answer, gold, kind) == why
+    assert strict.finding(answer, gold, kind) == why
 
 
 def test_percentiles_of_small_samples(spark):
