@@ -186,17 +186,15 @@ def _unjoined(keys: DataFrame, clusters: DataFrame, classes: DataFrame, percent:
     share all their keys, is listed once, not once a key, and the work grows with the number of those apart.
     """
     rows = keys.select("key", "v", "n", (F.col("c") > KEY_BLOCK).alias("_wide")).distinct().join(clusters, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("l")).where("l > 1")
+    most = most.select(F.col("key").alias("_k"), F.col("m.label").alias("major"))
+    apart = rows.join(most, (F.col("key") == F.col("_k")) & (F.col("label") != F.col("major")))
     # A little wider than the ratio of sizes, so that rounding can't part two sizes by two bands.
     width = max(math.log(100 / percent), 1e-3) * (1 + 1e-6)
     band = F.floor(F.ln("n") / width).cast("int")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m").select(F.col("key").alias("_k"))
-    rows = rows.join(mixed, F.col("key") == F.col("_k"), "left_semi")
-    rows = staged(rows.select("key", F.explode(F.when(F.col("_wide"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("band"), "v", "n", "label"), "near-open")
-    per = rows.groupBy("key", "band", "label").agg(F.count("*").alias("n"))
-    most = per.groupBy("key", "band").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("l")).where("l > 1")
-    most = most.select(F.col("key").alias("_k"), F.col("band").alias("_b"), F.col("m.label").alias("major"))
-    apart = rows.join(most, (F.col("key") == F.col("_k")) & (F.col("band") == F.col("_b")) & (F.col("label") != F.col("major")))
-    apart = staged(apart.select("key", "band", "v", "n", "label", "major"), "near-apart")
+    bands = F.explode(F.when(F.col("_wide"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1))))
+    apart = staged(apart.select("key", bands.alias("band"), "v", "n", "label", "major"), "near-apart")
     sigs = classes.select("v", "n", "sig")
 
     # Those apart with the clusters that have the most members of a key.
