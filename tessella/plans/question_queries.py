@@ -78,10 +78,10 @@ def first_divergence(spark, sf_dir):
     return v.select("id", Q.first_divergence(F.col("a"), F.col("b")).alias("place"))
 
 
-@query("""WITH c AS (SELECT source AS doc, doc_id // 50 AS page, doc_id AS pos, left(text, 30) AS text FROM documents), p AS (SELECT doc, page, string_agg(text, chr(10) ORDER BY pos) AS t FROM c GROUP BY ALL) SELECT pos, md5(t) AS digest FROM c JOIN p USING (doc, page)""")
+@query("""WITH c AS (SELECT source AS doc, doc_id // 50 AS page, doc_id AS pos, text FROM documents), p AS (SELECT doc, page, string_agg(text, chr(10) ORDER BY pos) AS t FROM c GROUP BY ALL) SELECT pos, md5(t) AS digest FROM c JOIN p USING (doc, page)""")
 def page_widening(spark, sf_dir):
     """Chunks with the whole text of their page."""
-    c = docs_(spark, sf_dir).select(F.col("source").alias("doc"), F.floor(F.col("doc_id") / 50).alias("page"), F.col("doc_id").alias("pos"), F.substring("text", 1, 30).alias("text"))
+    c = docs_(spark, sf_dir).select(F.col("source").alias("doc"), F.floor(F.col("doc_id") / 50).alias("page"), F.col("doc_id").alias("pos"), "text")
     return Q.page_text(c).select("pos", F.md5("page_text").alias("digest"))
 
 
@@ -143,11 +143,11 @@ def judge_benchmark(spark, sf_dir):
     return stats.auroc(d, "n_chars", "quality", "lang")
 
 
-@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user' AND conv_id % 5 = 0), p AS (SELECT conv_id * 1000 + turn AS id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'assistant')
+@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user'), p AS (SELECT conv_id * 1000 + turn AS id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'assistant')
  SELECT q.id AS q, min(p.id) AS p FROM q JOIN p ON contains(p.t, q.t) WHERE q.t <> '' AND len({SQL_WORDS.format('q.t')}) >= 4 GROUP BY q.id""")
 def question_in_prompt(spark, sf_dir):
-    """Held-out questions that stand in a prompt: a join on 4-grams first, then containment."""
+    """Questions of four words or more that stand in a prompt: a join on 4-grams first, then containment."""
     c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("t", T.squash(F.col("text")))
-    q = c.where("role = 'user' AND conv_id % 5 = 0").select(F.col("id").alias("q"), F.col("t").alias("qt"), F.try_element_at(T.ngrams(T.words(F.col("t")), 4), F.lit(1)).alias("g")).where("g IS NOT NULL")
+    q = c.where("role = 'user'").select(F.col("id").alias("q"), F.col("t").alias("qt"), F.try_element_at(T.ngrams(T.words(F.col("t")), 4), F.lit(1)).alias("g")).where("g IS NOT NULL")
     p = c.where("role = 'assistant'").select(F.col("id").alias("p"), F.col("t").alias("pt"), F.explode(F.array_distinct(T.ngrams(T.words(F.col("t")), 4))).alias("g"))
     return q.join(p, "g").where(F.contains("pt", "qt")).groupBy("q").agg(F.min("p").alias("p"))
