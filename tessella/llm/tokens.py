@@ -24,7 +24,7 @@ MAGIC = b"TWM1"
 #: Bits of a bit-plane that are compressed together; ranks are sampled at their starts.
 CHUNK = 1 << 19
 #: Stretches of text that a Python worker keeps with their ids; beyond that it begins anew, so its memory is bounded.
-CACHE = 900_000
+CACHE = 1_200_000
 
 #: A shard's file is closed, and the next of the shard begun, once it has so many tokens: a task's memory is bounded whatever its rows.
 MOST_TOKENS = 1 << 24
@@ -95,7 +95,7 @@ class Pool:
 #: Stretches longer than this are not kept; a text that holds one is encoded as a whole.
 LONGEST = 300
 #: Stretches whose ids are put together at once, and bytes of text that are cut at once.
-AT_ONCE, BATCH_TEXT = 1 << 18, 5 << 20
+AT_ONCE, BATCH_TEXT = 1 << 19, 8 << 20
 #: Bits that remember which stretches a worker has met before.
 MET = 1 << 24
 BLANKS = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
