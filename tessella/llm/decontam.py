@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import open_fs, scratch, session_of, small_batches, staged
+from .common import open_fs, scratch, session_of, small_batches, staged, tidy
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 15
@@ -125,7 +125,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[str, int]:
             rows = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([f" {f} " if f else None for f in forms], pa.string())], ["id", "form"])
             yield rows.filter(pa.array([bool(f) for f in forms], pa.bool_()))
 
-    forms = benchmark.select("item_id", "text").mapInArrow(run, "id long, form string")
+    forms = benchmark.select("item_id", "text").mapInArrow(tidy(run), "id long, form string")
     # Null ids count as an id of their own; the array is as long as an item has ids.
     forms = staged(forms.distinct().groupBy("form").agg(F.collect_list(F.struct("id")).alias("i")).select(F.col("i.id").alias("ids"), "form"), "items")
     lot = F.pmod(F.xxhash64("form"), F.lit(1024))
@@ -194,7 +194,7 @@ def _search(docs: DataFrame, path: str, block: int, chars_per_edit: int) -> Data
             cols = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, item_id long, distance int")
 
 
 def _clean(docs: DataFrame, path: str, block: int, chars_per_edit: int) -> DataFrame:
@@ -203,4 +203,4 @@ def _clean(docs: DataFrame, path: str, block: int, chars_per_edit: int) -> DataF
             _, matcher = matcher_of(path, block, chars_per_edit)
             yield b.filter(pa.array([not matcher.find(normal(t)) for t in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import MOST_TASKS, exists, open_fs, put_atomic, remove, session_of
+from .common import MOST_TASKS, exists, open_fs, put_atomic, remove, session_of, tidy
 
 MANIFEST = "shard int, seq int, name string, tmp string, bytes long, sha256 string, records long, units long, first_id long, last_id long"
 
@@ -73,8 +73,8 @@ def commit(rows: DataFrame, out_dir: str) -> DataFrame:
     """Give the files that ``rows`` (the tasks' output) names their final names, and write the manifest.
 
     ``rows`` is brought together by shard into few files and written by Spark's own committer, which takes one attempt of each task; files of lost or
-    repeated attempts are in no row and go with the temporary folder. An executor lost before that costs the shards that it had written. The renames run on the executors and may be repeated. The manifest is written last: a reader that
-    finds it finds every file. A run into a folder that has a manifest, or the remains of a run that died, takes its place; where only
+    repeated attempts are in no row and go with the temporary folder. An executor lost before that costs the shards that it had written. The renames
+    run on the executors and may be repeated. The manifest is written last: a reader that finds it finds every file. A run into a folder that has a manifest, or the remains of a run that died, takes its place; where only
     the renames were left, ``resume`` ends that run instead. Returns the manifest.
     """
     spark = session_of(rows)
@@ -99,7 +99,7 @@ def resume(spark: SparkSession, out_dir: str) -> DataFrame:
             yield b
 
     taken = taken.repartition(min(MOST_TASKS, 1 + taken.count() // RENAMES))
-    taken.mapInArrow(rename, MANIFEST).drop("tmp").write.mode("overwrite").parquet(f"{out_dir}/manifest")
+    taken.mapInArrow(tidy(rename), MANIFEST).drop("tmp").write.mode("overwrite").parquet(f"{out_dir}/manifest")
     remove(spark, f"{out_dir}/_tmp")
     remove(spark, f"{out_dir}/_attempts")
     return manifest(spark, out_dir)
@@ -124,7 +124,7 @@ def per_file(files: DataFrame, run, schema: str) -> DataFrame:
             for row in b.to_pylist():
                 yield from run(row)
 
-    return files.repartition(n).mapInArrow(each, schema)
+    return files.repartition(n).mapInArrow(tidy(each), schema)
 
 
 def to_json(value) -> bytes:

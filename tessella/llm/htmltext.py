@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, small_batches, staged
+from .common import session_of, small_batches, staged, tidy
 from .urlfilter import host_of
 
 #: Elements whose content is no markup: it ends at their end tag only.
@@ -355,7 +355,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "page", "path", "style", "said"])
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, NODES)
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(tidy(run), NODES)
 
 
 def site_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -448,7 +448,7 @@ def judged_branches(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFra
         if held:
             yield close()
 
-    return tree.mapInArrow(run, "host string, branches binary")
+    return tree.mapInArrow(tidy(run), "host string, branches binary")
 
 
 @lru_cache(64)
@@ -528,4 +528,4 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEA
             sizes = pa.array(map(len, texts), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(texts, pa.string()), sizes], names)
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

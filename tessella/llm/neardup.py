@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import session_of, small_batches, staged
+from .common import session_of, small_batches, staged, tidy
 from .words import Vocabulary, mix64, shingles
 
 #: Sub-keys of each of the two collections, and min-hashes of a sub-key. A table key is a pair of sub-keys, one of each
@@ -82,7 +82,7 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip((n, h1, h2, sig, subs), kinds, strict=True))], ["doc_id", "n", "h1", "h2", "sig", "subs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary, subs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long, sig binary, subs array<long>")
 
 
 def _live_keys(classes: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("_sa", "_sb"))
             yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select(["a", "b"])
 
-    return both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "_sa", "_sb").mapInArrow(tidy(run), "a long, b long")
 
 
 #: Members of a key that meet in one block at most come from two parts of about this size.
@@ -241,7 +241,7 @@ def _plausible_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
                 members.append(member)
         yield close()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def joins(members: list[list], percent: int, least: int) -> list[tuple[int, int]]:
@@ -328,7 +328,7 @@ def _linked_blocks(rows: DataFrame, percent: int) -> DataFrame:
                 sets.append(np.frombuffer(data, np.uint64))
         yield close()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _in_parts(rows: DataFrame, percent: int) -> DataFrame:
@@ -469,7 +469,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                 data.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "h1", "h2", "set"])
 
-    return texts.mapInArrow(run, "doc_id long, h1 long, h2 long, set binary")
+    return texts.mapInArrow(tidy(run), "doc_id long, h1 long, h2 long, set binary")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, session_of, small_batches
+from .common import SPACES, session_of, small_batches, tidy
 from .words import Vocabulary, mixed
 
 SYMBOLS = "#*$%&|<>"
@@ -106,7 +106,7 @@ def measure(docs: DataFrame, rules: dict[str, Callable] = RULES, sample: int = 2
                     spent[name] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(rules), "s": [spent[r] for r in rules], "hit": [hit[r] for r in rules], "n": [n] * len(rules)})
 
-    got = few.mapInArrow(run, "rule string, s double, hit long, n long").groupBy("rule").agg(F.sum("s"), F.sum("hit"), F.sum("n")).collect()
+    got = few.mapInArrow(tidy(run), "rule string, s double, hit long, n long").groupBy("rule").agg(F.sum("s"), F.sum("hit"), F.sum("n")).collect()
     return [(r, s / max(n, 1), hit / max(n, 1)) for r, s, hit, n in got]
 
 
@@ -130,7 +130,7 @@ def keep_good(docs: DataFrame, order: list[str] | None = None, rules: dict[str,
         for b, texts in _texts(batches):
             yield b.filter(pa.array([first_failing(Features(t, vocabulary), order, rules) is None for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def judge(docs: DataFrame, order: list[str] | None = None, digest: bool = False, rules: dict[str, Callable] = RULES) -> DataFrame:
@@ -166,4 +166,4 @@ def judge(docs: DataFrame, order: list[str] | None = None, digest: bool = False,
             else:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r is None for r in first], pa.bool_()), pa.array(first, pa.string())], [*b.schema.names, "kept", "rejected_by"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_range_shards, open_fs, session_of, small_batches
+from .common import in_range_shards, open_fs, session_of, small_batches, tidy
 from .files import MANIFEST, Checked, TempFile, commit, manifest, manifest_batch, per_file, to_json
 
 MAGIC = b"TWM1"
@@ -473,7 +473,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 0, bi
         close()
         yield manifest_batch(done)
 
-    return commit(rows.mapInArrow(run, MANIFEST), out_dir)
+    return commit(rows.mapInArrow(tidy(run), MANIFEST), out_dir)
 
 
 def read_documents(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_range_shards, open_fs, session_of, small_batches, staged
+from .common import in_range_shards, open_fs, session_of, small_batches, staged, tidy
 from .files import MANIFEST, Checked, TempFile, commit, manifest, manifest_batch, per_file
 
 #: Payloads below this many bytes are always stored; a revisit record would save nothing.
@@ -141,7 +141,7 @@ def write_warc(pages: DataFrame, out_dir: str, shard_bytes: int = 32 << 20, roll
         close()
         yield manifest_batch(done)
 
-    return commit(rows.mapInArrow(run, MANIFEST), out_dir)
+    return commit(rows.mapInArrow(tidy(run), MANIFEST), out_dir)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
