@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import text as T
+from tessella.storage import staged
+
+#: Different n-grams at most that are sent to every executor, 8 bytes each; beyond that both sides are shuffled.
+BROADCAST_GRAMS = 4_000_000
 
 
 def hashed_grams(text: Column, n: int) -> Column:
-    """The n-grams of a text's words as 64-bit hashes: what is shuffled and joined is 8 bytes a gram."""
-    return F.transform(T.ngrams(T.words(text), n), lambda g: F.xxhash64(g))
+    """The n-grams of a text's words as 64-bit hashes, each of the hashes of its words: what is shuffled and joined is 8 bytes a gram, and no gram is put
+    together as a string."""
+
+    def grams(h: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(h) - (n - 1))
+        return F.when(F.size(h) >= n, F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+    return T.let(F.transform(T.words(text), lambda w: F.xxhash64(w)), grams)
 
 
 def positioned_grams(rows: DataFrame, ident: str, text: str, n: int) -> DataFrame:
@@ -24,6 +34,13 @@ def gram_index(rows: DataFrame, ident: str, text: str, n: int) -> DataFrame:
     return positioned_grams(rows, ident, text, n).select("id", "g").distinct().groupBy("g").agg(F.count("*").alias("docs"))
 
 
+def among(grams: DataFrame, reference: DataFrame) -> DataFrame:
+    """Rows of ``grams`` whose g stands in ``reference``. The different grams of ``reference`` are counted first: few are broadcast, so the
+    other side, however large, isn't shuffled."""
+    few = staged(reference.select("g").distinct(), "reference-grams")
+    return grams.join(F.broadcast(few) if few.count() <= BROADCAST_GRAMS else few, "g", "left_semi")
+
+
 def covered_tokens(rows: DataFrame, reference: DataFrame, ident: str, text: str, n: int) -> DataFrame:
     """(id, tokens, grams, hits, covered, longest): how far n-grams that also stand in ``reference`` (g) cover each text.
 
@@ -32,7 +49,7 @@ def covered_tokens(rows: DataFrame, reference: DataFrame, ident: str, text: str,
     """
     base = rows.select(F.col(ident).alias("id"), F.size(T.words(F.col(text))).alias("tokens"))
     grams = positioned_grams(rows, ident, text, n)
-    hits = grams.join(reference.select("g").distinct(), "g", "left_semi").select("id", "pos")
+    hits = among(grams, reference).select("id", "pos")
     order = Window.partitionBy("id").orderBy("pos")
     fresh = F.coalesce((F.col("pos") > F.lag("pos").over(order) + n).cast("int"), F.lit(1))
     runs = hits.withColumn("run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -48,6 +65,16 @@ def coverage_bin(share: Column) -> Column:
     return F.when(share < 0.01, "0-1%").when(share < 0.05, "1-5%").when(share < 0.2, "5-20%").otherwise("20-100%")
 
 
+def shared_elsewhere(rows: DataFrame, ident: str, text: str, n: int) -> DataFrame:
+    """(id, share): the share of a text's n-grams, repeats counted, that another text has too. Grams are shuffled once, by themselves: both
+    counts and their join stay in that partitioning; what goes on to the ids is summed up first."""
+    grams = positioned_grams(rows, ident, text, n).select("id", "g").repartition("g")
+    per = grams.groupBy("g", "id").agg(F.count("*").alias("c"))
+    both = per.join(per.groupBy("g").agg(F.count("*").alias("docs")), "g")
+    sums = both.groupBy("id").agg(F.sum(F.when(F.col("docs") > 1, F.col("c")).otherwise(0)).alias("shared"), F.sum("c").alias("all"))
+    return sums.select("id", (F.col("shared") / F.col("all")).alias("share"))
+
+
 def shared_gram_counts(queries: DataFrame, reference: DataFrame, q_id: str, r_id: str, text: str, n: int) -> DataFrame:
     """(q, r, common, nq): distinct n-grams that a query text shares with each reference text, and how many it has."""
     q = queries.select(F.col(q_id).alias("q"), F.explode(F.array_distinct(hashed_grams(F.col(text), n))).alias("g"))

@@ -321,8 +321,9 @@ def sql_cover(rows: str, ref: str, extra: str = "") -> str:
 @query(sql_cover(sql_positions("q", "item_id", "benchmark"), sql_positions("r", "doc_id", "documents")) + " SELECT * FROM res")
 def items_vs_corpus(spark, sf_dir):
     """How far test items are covered by the corpus' n-grams: grams, hits, covered words, longest run."""
-    ref = overlap.positioned_grams(docs_(spark, sf_dir), "doc_id", "text", N)
-    return overlap.covered_tokens(table(spark, sf_dir, "benchmark"), ref, "item_id", "text", N)
+    items = table(spark, sf_dir, "benchmark")
+    ref = overlap.among(overlap.positioned_grams(docs_(spark, sf_dir), "doc_id", "text", N), overlap.positioned_grams(items, "item_id", "text", N))
+    return overlap.covered_tokens(items, ref, "item_id", "text", N)
 
 
 @query(sql_cover(sql_positions("q", "doc_id", "documents"), sql_positions("r", "item_id", "benchmark")) + " SELECT * FROM res")
@@ -345,9 +346,7 @@ def overlap_bins(spark, sf_dir):
   SELECT round(median(share), 6) AS med, round(quantile_cont(share, 0.9), 6) AS p90, round(max(share), 6) AS most, count(*) FILTER (share > 0.5) AS above FROM s""")
 def leave_one_out(spark, sf_dir):
     """The share of each document's n-grams that another document has, summed up."""
-    d = docs_(spark, sf_dir)
-    g = overlap.positioned_grams(d, "doc_id", "text", N)
-    s = g.join(overlap.gram_index(d, "doc_id", "text", N), "g").groupBy("id").agg(F.avg((F.col("docs") > 1).cast("int")).alias("share"))
+    s = overlap.shared_elsewhere(docs_(spark, sf_dir), "doc_id", "text", N)
     return s.agg(F.round(F.median("share"), 6).alias("med"), F.round(F.percentile("share", 0.9), 6).alias("p90"), F.round(F.max("share"), 6).alias("most"), F.count_if(F.col("share") > 0.5).alias("above"))
 
 
@@ -373,7 +372,7 @@ def planted_control(spark, sf_dir):
 @query(f"WITH {sql_positions('d', 'doc_id', 'documents', 13)}, {sql_positions('q', 'item_id', 'benchmark', 13)} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM d WHERE g IN (SELECT g FROM q))")
 def contamination_drop(spark, sf_dir):
     """Documents that share no 13-gram with a test item."""
-    hit = overlap.positioned_grams(docs_(spark, sf_dir), "doc_id", "text", 13).join(overlap.positioned_grams(table(spark, sf_dir, "benchmark"), "item_id", "text", 13).select("g").distinct(), "g", "left_semi")
+    hit = overlap.among(overlap.positioned_grams(docs_(spark, sf_dir), "doc_id", "text", 13), overlap.positioned_grams(table(spark, sf_dir, "benchmark"), "item_id", "text", 13))
     return docs_(spark, sf_dir).select("doc_id").join(hit.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
 
 
