@@ -22,20 +22,20 @@ def exact_duplicates(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
     return keyed.join(first, "key").where(F.col(ident) != F.col("kept")).select(F.col(ident).alias("dropped"), "kept")
 
 
-def shingled(rows: DataFrame, ident: str, text: str, k: int) -> DataFrame:
-    """(ident, n, g): the distinct word k-grams of each text and how many there are; shorter texts have none."""
-    grams = F.array_distinct(T.ngrams(T.words(F.col(text)), k))
+def shingled(rows: DataFrame, ident: str, text: str, k: int, whole: bool = False) -> DataFrame:
+    """(ident, n, g): the distinct word k-grams of each text and how many there are; shorter texts have none, or with ``whole`` one, themselves."""
+    grams = F.array_distinct((T.ngrams_or_whole if whole else T.ngrams)(T.words(F.col(text)), k))
     return rows.select(F.col(ident).alias("id"), grams.alias("gs")).where(F.size("gs") > 0).select("id", F.size("gs").alias("n"), F.explode("gs").alias("g"))
 
 
-def similar_pairs(rows: DataFrame, ident: str = "id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def similar_pairs(rows: DataFrame, ident: str = "id", text: str = "text", k: int = 5, percent: int = 80, whole: bool = False) -> DataFrame:
     """(a, b, common, na, nb), a < b: pairs of texts whose k-gram sets have a Jaccard similarity of ``percent`` or more. Exact.
 
     Grams are hashed and ordered from rare to common. If two sets are that similar, they share one of the first n - ceil(percent n) + 1 grams of that
     order, so only these enter the join; sizes must allow the similarity; the candidates are then counted over all grams.
     Callers collapse identical texts first, so large groups of copies form no pairs.
     """
-    grams = staged(shingled(rows, ident, text, k).select("id", "n", F.xxhash64("g").alias("g")), "grams")
+    grams = staged(shingled(rows, ident, text, k, whole).select("id", "n", F.xxhash64("g").alias("g")), "grams")
     order = grams.groupBy("g").agg(F.count("*").alias("df"))
     ranked = grams.join(order.where("df > 1"), "g")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))

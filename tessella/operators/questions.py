@@ -113,3 +113,9 @@ def distractors(chunks: DataFrame) -> DataFrame:
     near = [F.lead(F.struct("id", "doc"), k).over(w) for k in range(1, 9)] + [F.lag(F.struct("id", "doc"), k).over(w) for k in range(1, 9)]
     rows = rows.withColumn("near", F.array(*near))
     return rows.select("id", F.try_element_at(F.filter("near", lambda x: x.isNotNull() & (x["doc"] != F.col("doc"))), F.lit(1))["id"].alias("other"))
+
+
+def overridden(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, verdict, previous): verdicts (id, verdict), the new one where there is one; previous is the old one that it took the place of. Ids are unique on each side."""
+    both = old.select("id", F.col("verdict").alias("_o")).join(new.select("id", F.col("verdict").alias("_n"), F.lit(True).alias("_new")), "id", "full")
+    return both.select("id", F.when(F.col("_new"), F.col("_n")).otherwise(F.col("_o")).alias("verdict"), F.when(F.col("_new"), F.col("_o")).alias("previous"))

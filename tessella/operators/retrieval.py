@@ -63,3 +63,12 @@ def multiset_overlap(pairs: DataFrame, a: str, b: str, ident: list[str]) -> Data
         return F.when(most > 0, common / most).otherwise(0.0)
 
     return pairs.select(*ident, F.round(T.let(words_, share), 6).alias("overlap"))
+
+
+def surface_forms(docs: DataFrame) -> DataFrame:
+    """(term, surface, n): for each lower-case run of ASCII letters in documents (doc_id, text) its most frequent spelling; ties to the one seen first.
+    Counts and first places are combined before the shuffle."""
+    at = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "surface"))
+    seen = at.groupBy(F.lower("surface").alias("term"), "surface").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
+    best = F.struct("n", -F.col("at.doc_id"), -F.col("at.pos"))
+    return seen.groupBy("term").agg(F.max_by("surface", best).alias("surface"), F.max("n").alias("n"))

@@ -150,3 +150,14 @@ def evenly_spaced(n: int, k: int) -> Column:
     if k <= 1:
         return F.array(*[F.lit(0).cast("long")] * k)
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * F.lit(float(n - 1)) / (k - 1)).cast("long")))
+
+
+def capped_take(rows: DataFrame, ident: str, group: str, cap: int, n: int) -> DataFrame:
+    """``n`` rows in hash order of which no group has more than ``cap``."""
+    order = [hash_order(F.col(ident).cast("string")), F.col(ident)]
+    return capped(rows, group, cap, order).orderBy(*order).limit(n)
+
+
+def priority_take(rows: DataFrame, ident: str, first: Column, n: int) -> DataFrame:
+    """``n`` rows: those for which ``first`` holds before the others, each kind in hash order."""
+    return rows.orderBy(F.coalesce(first, F.lit(False)).desc(), hash_order(F.col(ident).cast("string")), F.col(ident)).limit(n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import dedup, overlap, pii, quality
+from tessella.operators import dedup, overlap, pii, quality, retrieval
 
 from .registry import query, table, values
 
@@ -217,6 +217,21 @@ def question_dedup(spark, sf_dir):
     return q.groupBy("question").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
+@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM conversations WHERE role = 'user'), u AS (SELECT min(id) AS id, {SQL_WORDS.format('k')} AS w FROM q GROUP BY k),
+  s AS (SELECT id, list_distinct(CASE WHEN len(w) >= 3 THEN {SQL_GRAMS.format('w', 3)} ELSE [array_to_string(w, ' ')] END) AS gs FROM u WHERE len(w) > 0), g AS (SELECT id, len(gs) AS n, unnest(gs) AS g FROM s)
+  SELECT a.id AS a, b.id AS b, count(*) AS common, a.n AS na, b.n AS nb FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL HAVING 100 * count(*) >= 70 * (a.n + b.n - count(*))""")
+def question_near_pairs(spark, sf_dir):
+    """Pairs of different questions with a Jaccard similarity of 0.7 or more on word 3-grams, exact; a shorter question is one gram by itself."""
+    return dedup.similar_pairs(question_dedup(spark, sf_dir).select("id", F.col("question").alias("text")), k=3, percent=70, whole=True)
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), a AS (SELECT doc_id, unnest(w) AS surface, generate_subscripts(w, 1) AS pos FROM t),
+  c AS (SELECT lower(surface) AS term, surface, count(*) AS n, min((doc_id, pos)) AS spot FROM a GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, spot) AS i FROM c) SELECT term, surface, n FROM r WHERE i = 1""")
+def surface_forms(spark, sf_dir):
+    """The most common spelling of each word."""
+    return retrieval.surface_forms(docs_(spark, sf_dir))
+
+
 TERMS = "SELECT * FROM VALUES (1, 'Stirrups'), (2, 'Reduced Beam Section (RBS)'), (3, 'line-girder'), (4, 'line girders'), (5, 'Stress'), (6, 'gas'), (7, 'w/c ratios'), (8, '') AS t(id, term)"
 
 

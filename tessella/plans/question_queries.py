@@ -151,3 +151,33 @@ def question_in_prompt(spark, sf_dir):
     q = c.where("role = 'user'").select(F.col("id").alias("q"), F.col("t").alias("qt"), F.try_element_at(T.ngrams(T.words(F.col("t")), 4), F.lit(1)).alias("g")).where("g IS NOT NULL")
     p = c.where("role = 'assistant'").select(F.col("id").alias("p"), F.col("t").alias("pt"), F.explode(F.array_distinct(T.ngrams(T.words(F.col("t")), 4))).alias("g"))
     return q.join(p, "g").where(F.contains("pt", "qt")).groupBy("q").agg(F.min("p").alias("p"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, sha256(doc_id::VARCHAR) AS h, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR)) AS i FROM documents) SELECT doc_id, source FROM d WHERE i <= 4 ORDER BY h LIMIT 15""")
+def capped_take(spark, sf_dir):
+    """Fifteen documents by hash, four of a source at most."""
+    return selection.capped_take(docs_(spark, sf_dir).select("doc_id", "source"), "doc_id", "source", 4, 15)
+
+
+@query("SELECT doc_id, toxic FROM labels ORDER BY toxic DESC, sha256(doc_id::VARCHAR) LIMIT 30")
+def priority_take(spark, sf_dir):
+    """Thirty labelled rows, those of one kind first."""
+    return selection.priority_take(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", F.col("toxic") == 1, 30)
+
+
+@query("""WITH o AS (SELECT doc_id AS id, quality AS verdict FROM labels), n AS (SELECT doc_id AS id, toxic AS verdict FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id + 1000000, 0 FROM labels WHERE quality = 0)
+ SELECT id, CASE WHEN n.id IS NULL THEN o.verdict ELSE n.verdict END AS verdict, CASE WHEN n.id IS NOT NULL THEN o.verdict END AS previous FROM o FULL JOIN n USING (id)""")
+def verdict_override(spark, sf_dir):
+    """New verdicts take the place of old ones, which are kept beside them."""
+    la = table(spark, sf_dir, "labels")
+    new = la.where("toxic = 1").select(F.col("doc_id").alias("id"), F.col("toxic").alias("verdict"))
+    new = new.unionByName(la.where("quality = 0").select((F.col("doc_id") + 1_000_000).alias("id"), F.lit(0).alias("verdict")))
+    return Q.overridden(la.select(F.col("doc_id").alias("id"), F.col("quality").alias("verdict")), new)
+
+
+@query("""SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view, round(avg(value) FILTER (event_type = 'error'), 6) AS error FROM events GROUP BY user_id HAVING count(*) FILTER (event_type IN ('click', 'view', 'error')) > 0""")
+def result_table(spark, sf_dir):
+    """One row a run with a column a metric; runs without any are left out."""
+    names = ["click", "view", "error"]
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin(names))
+    return e.groupBy("user_id").pivot("event_type", names).agg(F.round(F.avg("value"), 6))
