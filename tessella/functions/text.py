@@ -61,6 +61,13 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SPACE + "+", " "))
 
 
+def sql_squash(text: Column) -> Column:
+    """``trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))`` as DuckDB has it: ASCII white space alone is squeezed, all of Unicode's spaces are trimmed, and case is
+    that of single characters (Java's depends on the neighbours of a capital sigma, and makes two characters of a dotted capital I)."""
+    t = F.regexp_replace(F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3")), r"[\t\n\f\r ]+", " ")
+    return F.regexp_replace(t, r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
 def first_line(text: Column) -> Column:
     return F.trim(F.element_at(F.split(F.regexp_replace(text, r"^\s+", ""), "\n"), 1))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import dedup, links, overlap, pii, quality, scoring, selection, stats, strict
+from tessella.operators import containment, dedup, links, overlap, pii, quality, scoring, selection, stats, strict
 from tessella.plans import catalog, corpus_queries
 from tessella.sources import io
 from tessella.streaming import events as ev
@@ -393,3 +393,56 @@ def test_distractors_are_of_other_documents(spark, sf_dir):
     docs = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()}
     rows = [(r.id, r.other) for r in catalog.QUERIES["distractor_chunks"](spark, sf_dir).collect()]
     assert len(rows) == len(docs) and all(o is None or docs[o] != docs[i] for i, o in rows)
+
+
+# --- containment --------------------------------------------------------------------------------------------------------
+
+
+def test_contained_in_equals_all_pairs(spark):
+    rng = random.Random(5)
+    vocabulary = ["a", "be", "cat", "dog", "é", "x1", "on", "the", "sat", "mat"]
+    prompts = [(i, "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "-", ", "]) for _ in range(rng.randrange(60)))) for i in range(80)]
+    prompts += [(900 + i, t) for i, (_, t) in enumerate(prompts[:20])] + [(None, "one of no number at all"), (990, None), (991, "")]
+    questions = [(i, rng.choice(prompts)[1] or "") for i in range(300)]
+    cut = lambda t: t[(a := rng.randrange(len(t) + 1)) : a + rng.randrange(1, 90)]
+    questions = [(i, cut(t)) for i, t in questions] + [(301, None), (302, ""), (303, "of no number at"), (304, "ne of no number"), (304, "never seen in any prompt")]
+    words = lambda t: len(re.findall("[a-z0-9]+", t or ""))
+    want = {}
+    for q, t in questions:
+        held = [p for p, x in prompts if words(t) >= 4 and t in (x or "")]
+        if held:
+            want[q] = min((p for p in held if p is not None), default=None)
+    got = containment.contained_in(spark.createDataFrame(questions, "q long, t string").repartition(3), spark.createDataFrame(prompts, "p long, t string").repartition(3)).collect()
+    assert {r.q: r.p for r in got} == want and len(got) == len(want) > 100
+
+
+def shuffled_bytes(spark) -> int:
+    """What all stages so far have written for a shuffle."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_question_in_prompt_shuffles_less_than_its_input(spark, tmp_path):
+    """Texts don't go with each of their runs of words, and runs that no question has aren't shuffled."""
+    text = lambda start, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substring(F.sha2((F.col("id") * 1000 + start + i).cast("string"), 256), 1, 9)), " ")
+    c = spark.range(800).select((F.col("id") + 1).alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), text(0, 300).alias("text"))
+    c = c.unionByName(spark.range(60).select((F.col("id") + 1).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), text(20, 9).alias("text")))
+    c.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    before = shuffled_bytes(spark)
+    got = catalog.QUERIES["question_in_prompt"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1000 * i, 1000 * i + 1) for i in range(1, 61)]
+    assert 0 < shuffled_bytes(spark) - before < sum(p.stat().st_size for p in (tmp_path / "conversations.parquet").glob("*.parquet")) / 2
+
+
+def test_question_in_prompt_has_the_white_space_and_case_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [("user", "HE cat  sat on ma"), ("assistant", "so the cat sat\ton\nmat."), ("user", "no\u00a0break space between words"), ("assistant", "no break space between words"), ("user", "\u00a0 ends in no break space \u2003"),
+             ("assistant", "it ends in no break spaces"), ("user", "ΑΣ one two three four ΟΔΟΣ"), ("assistant", "ασ one two three four οδοσ"), ("user", "İ is one dotted letter"), ("assistant", "i is one dotted letter"), ("user", "vertical\u000btab is no space here"), ("assistant", "vertical tab is no space here")]
+    spark.createDataFrame([(i, 0, r, t) for i, (r, t) in enumerate(texts)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.ORACLE_SQL["question_in_prompt"]).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["question_in_prompt"](spark, str(tmp_path)).collect())) == want and len(want) == 4
