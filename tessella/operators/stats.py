@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.storage import staged
+
+#: Items of a bootstrap at most that are sent to every executor, 8 bytes each.
+BROADCAST_ITEMS = 8_000_000
+#: Picks of a bootstrap that a task forms, about.
+PICKS_EACH = 4_000_000
+
 
 def median_upper(values: Column) -> Column:
     """The upper of the two middle values, for an array."""
@@ -55,19 +62,39 @@ def bootstrap_index(draw: Column, slot: Column, n: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", draw.cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % n).cast("long")
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``i`` from 0 without gaps in the order of a column, nulls last. Rows are dealt by ranges of it and numbered within each, so no task gets all."""
+    by = F.col(order).asc_nulls_last()
+    ranged = staged(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part")
+    return out.withColumn("i", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1).drop("_part", "_before")
+
+
 def paired_bootstrap(items: DataFrame, draws: int) -> DataFrame:
     """(n, mean, low, high) of the paired differences of items (i from 0 without gaps, d): the 2.5th and 97.5th order statistics of the means of
-    ``draws`` resamples. Draws are formed from each slot by a hash and meet the items in one equi-join on the index."""
-    n = items.count()
+    ``draws`` resamples. Picks are formed in the tasks by a hash and summed up there; the items go to them in blocks, 8 bytes each. More than
+    ``BROADCAST_ITEMS`` are joined on the index instead, and all picks are shuffled."""
     spark = items.sparkSession
-    slots = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    picked = slots.withColumn("i", bootstrap_index(F.col("draw"), F.col("slot"), F.lit(n)))
-    means = picked.join(items.select("i", "d"), "i").groupBy("draw").agg(F.avg("d").alias("m"))
-    ordered = means.agg(F.array_sort(F.collect_list(F.round("m", 9))).alias("ms"))  # one number a draw
+    n, mean = items.agg(F.count("*"), F.avg("d")).first()
+    picks = spark.range(0, n * draws, 1, max(spark.sparkContext.defaultParallelism, n * draws // PICKS_EACH))
+    each = F.lit(max(n, 1)).cast("long")
+    draw = F.floor((F.col("id") - F.col("id") % each) / each)  # exact below 2^53 picks
+    picks = picks.select(draw.alias("draw"), bootstrap_index(draw, F.col("id") % each, each).alias("i"))
+    if n <= BROADCAST_ITEMS:
+        row = F.array_sort(F.collect_list(F.struct("i", "d")))
+        blocks = items.groupBy(F.shiftright("i", 12).alias("block")).agg(F.transform(row, lambda x: x["d"]).alias("ds"))
+        picks = picks.withColumn("block", F.shiftright("i", 12)).join(F.broadcast(blocks), "block")
+        picks = picks.select("draw", F.get("ds", F.col("i").bitwiseAND(F.lit(4095).cast("long")).cast("int")).alias("d"))
+    else:
+        picks = picks.join(items.select("i", "d").hint("merge"), "i")
+    m = F.round("m", 9)
+    means = picks.groupBy("draw").agg(F.avg("d").alias("m"))
+    ordered = means.agg(F.array_sort(F.collect_list(F.struct(m.isNull().alias("none"), m.alias("m")))).alias("ms"))  # one number a draw, nulls last
     low, high = int(draws * 0.025), int(draws * 0.975) - 1
-    ends = ordered.select(F.element_at("ms", low + 1).alias("low"), F.element_at("ms", high + 1).alias("high"))
-    mean = items.agg(F.count("*").alias("n"), F.avg("d").alias("mean")).first()
-    return ends.select(F.lit(mean[0]).cast("long").alias("n"), F.lit(round(mean[1], 6)).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    end = lambda at: F.round(F.get("ms", F.lit(at))["m"], 6)
+    return ordered.select(F.lit(n).cast("long").alias("n"), F.round(F.lit(mean).cast("double"), 6).alias("mean"), end(low).alias("low"), end(high).alias("high"))
 
 
 def ratio_bootstrap(groups: DataFrame, draws: int) -> DataFrame:

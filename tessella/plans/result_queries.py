@@ -216,7 +216,7 @@ SQL_INDEX = "('0x' || left(md5(draw || ':' || slot), 8))::BIGINT % n"
   m AS (SELECT draw, round(avg(d), 9) AS m FROM p JOIN d USING (i) GROUP BY draw), o AS (SELECT list_sort(list(m)) AS ms FROM m) SELECT (SELECT n FROM c) AS n, (SELECT round(avg(d), 6) FROM d) AS mean, round(ms[6], 6) AS low, round(ms[195], 6) AS high FROM o""")
 def paired_bootstrap(spark, sf_dir):
     """Interval of a mean paired difference from 200 resamples."""
-    d = table(spark, sf_dir, "labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), (F.col("quality") - F.col("toxic")).cast("double").alias("d"))
+    d = stats.numbered(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("d")), "doc_id")
     return stats.paired_bootstrap(d, DRAWS)
 
 

@@ -446,3 +446,31 @@ def test_question_in_prompt_has_the_white_space_and_case_of_its_sql(spark, tmp_p
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     want = sorted(con.execute(catalog.ORACLE_SQL["question_in_prompt"]).fetchall())
     assert sorted(map(tuple, catalog.QUERIES["question_in_prompt"](spark, str(tmp_path)).collect())) == want and len(want) == 4
+
+
+# --- paired bootstrap ---------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["plain", "nulls", "empty", "all_null"])
+def test_paired_bootstrap_equals_its_sql(spark, tmp_path, kind):
+    """More items than a block has, a mean that ends in a five at the seventh place, null ids and values, no rows at all."""
+    import duckdb
+
+    n = {"plain": 8192, "nulls": 6, "empty": 0, "all_null": 3}[kind]
+    rows = [(7 * i % n if kind == "plain" or i else None, int(i % 128 == 0) if kind == "plain" else None if kind == "all_null" or i % 3 else i % 2, 0) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW labels AS SELECT * FROM read_parquet('{tmp_path}/labels.parquet/*.parquet')")
+    assert list(map(tuple, catalog.QUERIES["paired_bootstrap"](spark, str(tmp_path)).collect())) == con.execute(catalog.ORACLE_SQL["paired_bootstrap"]).fetchall()
+
+
+def test_paired_bootstrap_neither_sends_nor_shuffles_picks(spark, monkeypatch):
+    items = spark.range(30_000).select(F.col("id").alias("i"), (F.col("id") % 3 - 1).cast("double").alias("d"))
+    before = shuffled_bytes(spark)
+    df = stats.paired_bootstrap(items, 50)
+    got = df.collect()
+    assert shuffled_bytes(spark) - before < 16 * 30_000  # an index and a value for each item, but none of its picks
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and len(plan) < 30_000  # no array of slots, which the driver would hold and print
+    monkeypatch.setattr(stats, "BROADCAST_ITEMS", 10)
+    assert stats.paired_bootstrap(items, 50).collect() == got
