@@ -430,8 +430,12 @@ def test_question_in_prompt_shuffles_less_than_its_input(spark, tmp_path):
     c = spark.range(800).select((F.col("id") + 1).alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), text(0, 300).alias("text"))
     c = c.unionByName(spark.range(60).select((F.col("id") + 1).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), text(20, 9).alias("text")))
     c.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
-    before = shuffled_bytes(spark)
-    got = catalog.QUERIES["question_in_prompt"](spark, str(tmp_path)).collect()
+    before, limit = shuffled_bytes(spark), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")  # as for more questions than fit a broadcast
+    try:
+        got = catalog.QUERIES["question_in_prompt"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(limit)
     assert sorted(map(tuple, got)) == [(1000 * i, 1000 * i + 1) for i in range(1, 61)]
     assert 0 < shuffled_bytes(spark) - before < sum(p.stat().st_size for p in (tmp_path / "conversations.parquet").glob("*.parquet")) / 2
 
