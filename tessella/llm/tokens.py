@@ -9,7 +9,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,34 +61,30 @@ class Pool:
     """Token ids of many strings, one after the other, and where each string's begin: a string is known by its number."""
 
     def __init__(self) -> None:
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.ids, self.start, self.n = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
         self.add(np.empty(0, np.uint32), np.zeros(1, np.int64))  # number 0 has no ids
 
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
         """Append strings by their ids in a row and the number of ids of each; the number of the first."""
-        first, n, used = self.n, self.n + len(sizes), self.used + len(ids)
-        if used > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(used, np.uint32)])
-        if n > len(self.start):
-            more = np.empty(n, np.int64)
-            self.start, self.size = np.concatenate([self.start[: self.n], more]), np.concatenate([self.size[: self.n], more])
-        self.ids[self.used : used] = ids
-        self.size[self.n : n] = sizes
-        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.n = used, n
+        first, n, used = self.n, self.n + len(sizes), int(self.start[self.n])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.empty(used + len(ids), np.uint32)])
+        if n >= len(self.start):
+            self.start = np.concatenate([self.start[: first + 1], np.empty(n, np.int64)])
+        self.ids[used : used + len(ids)] = ids
+        self.start[first + 1 : n + 1] = used + np.cumsum(sizes)
+        self.n = n
         return first
 
     def __getitem__(self, number: int) -> np.ndarray:
-        return self.ids[self.start[number] : self.start[number] + self.size[number]]
+        return self.ids[self.start[number] : self.start[number + 1]]
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the strings one after the other, and the bounds of each among them."""
-        sizes = self.size[numbers]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.start[numbers] - bounds[:-1], sizes)
-        at += np.arange(len(at))
-        return self.ids[at], bounds
+        buffers = [None, pa.py_buffer(self.start[: self.n + 1] * 4), pa.py_buffer(self.ids)]
+        _, bounds, ids = pa.Array.from_buffers(pa.large_binary(), self.n, buffers).take(pa.array(numbers)).buffers()
+        bounds = np.frombuffer(bounds, np.int64)[: len(numbers) + 1] // 4
+        return np.frombuffer(ids, np.uint32, bounds[-1]) if bounds[-1] else self.ids[:0], bounds
 
 
 #: Stretches longer than this are not kept; a text that holds one is encoded as a whole.
@@ -98,15 +93,35 @@ LONGEST = 300
 AT_ONCE, BATCH_TEXT = 1 << 19, 8 << 20
 #: Bits that remember which stretches a worker has met before.
 MET = 1 << 24
+#: What may follow a letter only in a token of its own: ASCII signs without the apostrophe.
+SIGNS = r"!-&(-/:-@\[-\x60{-~"
 BLANKS = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+def places(words: pa.Array) -> np.ndarray:
+    """A number below ``MET`` for each string, from its length and its first and last eight bytes."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    low, high = int(ends[0]), int(ends[-1])
+    data = np.concatenate([np.zeros(8, np.uint8), np.frombuffer(data, np.uint8)[low:high] if high > low else np.empty(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    size = np.diff(ends)
+    out = (8 * np.maximum(8 - size, 0)).astype(np.uint64)  # bits that are not the string's
+    first, last = eight[ends[:-1] - low + 8] << np.minimum(out, 63), eight[ends[1:] - low]
+    first[size == 0], last[size < 8] = 0, 0
+    mixed = (first ^ (last * np.uint64(0x9E3779B97F4A7C15)) ^ size.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(40)).astype(np.int64) & (MET - 1)
+
+
 class Encoder:
     """Text to token ids: those of the tokenizers library with add_special_tokens=False, and nothing else.
 
     A byte-level tokenizer cuts a text into pre-tokens before it merges anything, and merges within each by itself. Where one space stands between
-    two characters that are no white space, it cuts before the space, and where one line end does, on both sides of it; so a text falls into stretches
-    of a space or line end and what follows, and the ids of a stretch never depend on the others. A batch of texts is cut there and its different
+    two characters that are no white space, it cuts before the space, where one line end does, on both sides of it, and always between a letter and a sign of ``SIGNS``; so a text falls into stretches
+    of a space or line end and what follows, or of a sign and what follows, and the ids of a stretch never depend on the others. A batch of texts is cut there and its different
     stretches are numbered; those met before are in the pool, the new ones are encoded together: the space or line end of a stretch has its own place in
     the ids, so those of many can be told apart again. Then the ids of all texts are gathered from the pool. The library itself encodes as a whole each text in
     which other white space stands beside a cut, that holds the literal of an added token (such as <|endoftext|>), a stretch of more than ``LONGEST``
@@ -140,8 +155,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.pool = Pool()
-        #: Numbers of stretches met twice or more, and of what texts begin with; 0 marks what the shortcut can't vouch for.
-        self.known: dict[str, int] = {}
+        #: Stretches met twice or more with their numbers, and those of what texts begin with; 0 marks what the shortcut can't vouch for.
+        self.known, self.numbers = pa.array([], pa.string()), np.zeros(0, np.int64)
         self.leading: dict[str, int] = {}
 
     def whole(self, text: str) -> np.ndarray:
@@ -152,42 +167,34 @@ class Encoder:
             self.alone[pre_token] = self.whole(pre_token)
         return self.alone[pre_token]
 
-    def _together(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, words: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words of letters, each with ``mark`` before it, in a row, and their sizes."""
-        texts = [mark + mark.join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        lots = pa.ListArray.from_arrays(pa.array([*range(0, len(words), 1000), len(words)], pa.int32()), words)
+        texts = [mark + t for t in pc.binary_join(lots, mark).to_pylist()]
         ids = [np.asarray(e.ids, np.uint32) for e in self.joined[mark].encode_batch_fast(texts, add_special_tokens=False)]
         row = np.concatenate([*ids, np.empty(0, np.uint32)])
         return row, np.diff(np.flatnonzero(self.begins[mark][row]), append=len(row)).astype(np.int64)
 
     def _number(self, stretches: pa.Array) -> np.ndarray:
-        """Put new stretches into the pool; their numbers. A stretch after a line end begins with a zero character."""
+        """Put new stretches into the pool; their numbers. A stretch after a line end begins with a zero character, one that begins with a sign with a one."""
         out = np.zeros(len(stretches), np.int64)
         if not len(stretches):
             return out
         mask = lambda a: a.to_numpy(zero_copy_only=False)
-        line = mask(pc.starts_with(stretches, "\0"))
-        body = pc.if_else(pa.array(line), pc.utf8_slice_codeunits(stretches, 1), stretches)
+        line, sign = mask(pc.starts_with(stretches, "\0")), mask(pc.starts_with(stretches, "\1"))
+        body = pc.if_else(pa.array(line | sign), pc.utf8_slice_codeunits(stretches, 1), stretches)
         size = mask(pc.utf8_length(body))
         bad = (size == 0) | (size > LONGEST) | mask(pc.match_substring_regex(body, self.unsure)) | mask(pc.match_substring_regex(body, f"^[{BLANKS}]|[{BLANKS}]$"))
         letters = mask(pc.utf8_is_alpha(body)) & ~bad
-        stopped = mask(pc.match_substring_regex(body, r"^\pL+[,.]$")) & ~bad
         for mark, these in ((" ", ~line), ("\n", line)):
             at = np.flatnonzero(letters & these)
-            out[at] = self.pool.add(*self._together(body.take(pa.array(at)).to_pylist(), mark)) + np.arange(len(at))
-            at = np.flatnonzero(stopped & these)
-            words = body.take(pa.array(at)).to_pylist()
-            ids, sizes = self._together([w[:-1] for w in words], mark)
-            ends = np.cumsum(sizes + 1) - 1
-            row = np.empty(len(ids) + len(at), np.uint32)
-            last = np.zeros(len(row), bool)
-            last[ends] = True
-            comma, stop = int(self._one(",")[0]), int(self._one(".")[0])
-            row[last], row[~last] = np.array([comma if w[-1] == "," else stop for w in words], np.uint32), ids
-            out[at] = self.pool.add(row, sizes + 1) + np.arange(len(at))
-        at = np.flatnonzero(~(bad | letters | stopped))
+            if len(at):
+                out[at] = self.pool.add(*self._together(body.take(pa.array(at)), mark)) + np.arange(len(at))
+        at = np.flatnonzero(~(bad | letters))
         ids = []
-        for w, after_line in zip(body.take(pa.array(at)).to_pylist(), line[at].tolist(), strict=True):
-            ids.append([self._one("\n"), *map(self._one, self.cut(w))] if after_line else [self._one(x) for x in self.cut(" " + w)])
+        for w, after_line, at_sign in zip(body.take(pa.array(at)).to_pylist(), line[at].tolist(), sign[at].tolist(), strict=True):
+            before = [self._one("\n")] if after_line else []
+            ids.append([*before, *map(self._one, self.cut(w if after_line or at_sign else " " + w))])
         sizes = np.array([sum(map(len, x)) for x in ids], np.int64)
         out[at] = self.pool.add(np.concatenate([*(y for x in ids for y in x), np.empty(0, np.uint32)]), sizes) + np.arange(len(at))
         return out
@@ -208,38 +215,37 @@ class Encoder:
         """The ids of each text; nulls are empty."""
         if not len(texts):
             return []
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "").cast(pa.string())
         if len(self.known) + len(self.leading) > CACHE:
             self._forget()
         if len(self.alone) > CACHE // 4:
             self.alone.clear()
         odd = np.zeros(len(texts), bool)
-        for literal in (*self.literals, "\0"):
+        for literal in (*self.literals, "\0", "\1"):
             odd |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
-        cut = pc.split_pattern(pc.replace_substring_regex(texts, r"(\S)\n(\S)", "\\1 \0\\2"), " ")
+        marked = pc.replace_substring_regex(texts, r"(\S)\n(\S)", "\\1 \0\\2")
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, rf"(\pL)([{SIGNS}])", "\\1 \1\\2"), " ")
         bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        coded = cut.flatten().dictionary_encode()
-        words, code = coded.dictionary, coded.indices.to_numpy()
+        # The dictionary begins with the known stretches: each is one that it has met, and has its place.
+        coded = pa.concat_arrays([self.known, cut.flatten()]).dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy()[len(self.known) :]
         after = np.ones(len(code), bool)
         after[bounds[:-1]] = False
         used = np.zeros(len(words), bool)
         used[code[after]] = True
-        used = np.flatnonzero(used)
-        some = words.take(pa.array(used)).to_pylist()
-        found = np.fromiter(map(self.known.get, some, repeat(-1)), np.int64, len(some))
         lead = [self._lead(words[int(code[a])].as_py(), b - a == 1) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        number = np.zeros(len(words), np.int64)
+        number[: len(self.known)] = self.numbers
         # What is met for the second time is kept; what is met for the first time leaves the pool with the batch.
-        new = np.flatnonzero(found < 0)
-        place = np.fromiter((hash(some[i]) & (MET - 1) for i in new.tolist()), np.int64, len(new))
-        again = new[self.met[place]]
-        once = new[~self.met[place]]
+        new = np.flatnonzero(used[len(self.known) :]) + len(self.known)
+        place = places(words.take(pa.array(new)))
+        again, once = new[self.met[place]], new[~self.met[place]]
         self.met[place] = True
-        found[again] = self._number(words.take(pa.array(used[again])))
-        self.known.update(zip([some[i] for i in again.tolist()], found[again].tolist(), strict=True))
-        kept = self.pool.n, self.pool.used
-        found[once] = self._number(words.take(pa.array(used[once])))
-        number = np.zeros(len(words), np.int64)
-        number[used] = found
+        kept = words.take(pa.array(again))
+        number[again] = self._number(kept)
+        self.known, self.numbers = pa.concat_arrays([self.known, kept]), np.concatenate([self.numbers, number[again]])
+        n_kept = self.pool.n
+        number[once] = self._number(words.take(pa.array(once)))
         number = number[code]
         number[bounds[:-1]] = lead
         odd |= np.logical_or.reduceat(number == 0, bounds[:-1])
@@ -251,7 +257,7 @@ class Encoder:
             ends = at[bounds[low : high + 1] - bounds[low]].tolist()
             out += [self.whole(texts[i].as_py()) if odd[i] else ids[a:b] for i, a, b in zip(range(low, high), ends, ends[1:], strict=False)]
             low = high
-        self.pool.n, self.pool.used = kept
+        self.pool.n = n_kept
         return out
 
 

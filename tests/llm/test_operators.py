@@ -581,6 +581,31 @@ def test_added_tokens_as_the_library_has_them():
     assert [g.tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_words_are_known_apart_from_the_signs_behind_them():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path())
+    stems = [f"w{chr(97 + i % 26)}x{chr(97 + i // 26)}é" for i in range(500)]
+    texts = [" ".join(["On", *(s + sign for s in stems)]) for sign in ("", ".", "###", ".%%%", "=8c01d9", "-a", "'s", "'s.", ".\nAn", "!\u0378")]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for _ in range(2):
+            assert [g.tolist() for g in e.batch(pa.array(texts, kind))] == want
+    # Nearly ten times as many if each word counts anew with each ending, and so do calls of the library.
+    assert len(e.known) < 3 * 500 + 30 and len(e.alone) < 600
+    assert [g.tolist() for g in e.batch(pa.array([texts[3], texts[3], None, "", "a"]))] == [want[3], want[3], [], [], t.encode("a").ids]
+
+
+def test_places_tell_strings_apart():
+    import pyarrow as pa
+
+    words = ["", "a", "b", "ab", "ba", "12345678", "123456789", "a" * 20, "é", "a\0", "x" + "a" * 20, "漢字漢字"]
+    got = tokens.places(pa.array(words)).tolist()
+    assert len(set(got)) == len(words) and all(0 <= g < tokens.MET for g in got)
+    assert tokens.places(pa.array(["zz", *words[::-1]])[1:]).tolist() == got[::-1] and tokens.places(pa.array([], pa.string())).tolist() == []
+
+
 def test_encoder_is_the_library_on_any_text():
     import random
 
